@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkclade.llm import bpe, embeddings, langid, licenses, packing, quality_gbt, sharding
+from sparkclade.llm import bpe, embeddings, langid, licenses, packing, quality_gbt, quality_rules, secrets, sharding
 from sparkclade.llm.common import table
 
 
@@ -72,3 +72,17 @@ def _op8_sql() -> str:
 
 
 ORACLE_SQL = {"op8_license_scan": _op8_sql()}
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_quality_rules"] = op6_quality_rules
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_secret_scan"] = op4_secret_scan
