@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkclade.llm import bpe, embeddings, langid, licenses, packing, quality_gbt, quality_rules, secrets, sharding
+from sparkclade.llm import bpe, embeddings, jaccard, langid, licenses, packing, quality_gbt, quality_rules, secrets, sharding
 from sparkclade.llm.common import table
 
 
@@ -86,3 +86,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_secret_scan"] = op4_secret_scan
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_ngram_jaccard"] = op5_ngram_jaccard

@@ -92,7 +92,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     if not len(words):
         return [empty] * len(texts)
     total = words * _PLACE[0]
-    for k in range(1, SHINGLE):
+    for k in range(1, min(SHINGLE, len(words))):
         total[: len(words) - k] += words[k:] * _PLACE[k]
     total = mix(total)
     out = []
