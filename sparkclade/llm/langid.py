@@ -225,7 +225,7 @@ def train(docs: DataFrame, learn: Column, vocabulary: str, limit: int = SAMPLE_B
 _SCORERS: dict = {}
 
 
-def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs' columns with lang_pred and score; only the text is looked at."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in columns if c != text_col]
@@ -245,11 +245,11 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "
                     langs.append("und" if top is None else sent.value.languages[top])
                     scores.append(score)
                 kept = range(part.num_columns if text_col in columns else part.num_columns - 1)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(part.schema.names[i] for i in kept), "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(part.schema.names[i] for i in kept), *added])
 
     given = docs.select(*names, text_col)
     kept = given.schema.fields if text_col in columns else given.schema.fields[:-1]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{added[0]}` string", f"`{added[1]}` double"])
     return given.mapInArrow(run, schema)
 
 

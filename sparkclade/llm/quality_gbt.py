@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkclade.llm.bpe import parts
-from sparkclade.llm.common import written
 from sparkclade.llm.shingles import _SPACE, mix, word_hashes
 
 #: Labelled rows that training takes at most, in expectation.
@@ -128,53 +127,52 @@ class Trees:
         return 1 / (1 + np.exp(-margin))
 
 
-def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, stats) of every row."""
+def _texts(column: pa.Array) -> list[bytes]:
+    return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
+
+
+def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", limit: int = SAMPLE_ROWS) -> Trees:
+    """Trees from a sample of the labelled rows for which `learn` holds: `limit` ids in expectation.
+
+    Which ids are drawn depends on their hash only."""
+    known = labels.where(learn & F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("quality").alias("_label"))
+    rate = min(1.0, limit / max(known.count(), 1))
+    drawn = known.where(F.pmod(F.xxhash64(id_col, F.lit(29)), F.lit(1 << 30)) < int(rate * (1 << 30)))
 
     def run(batches):
         for batch in batches:
             for part in parts(batch, 1):
-                texts = [b"" if t is None else t for t in part.column(1).cast(pa.binary()).to_pylist()]
-                rows = statistics(texts).astype(np.float32)
-                flat = pa.array(rows.ravel())
-                stats = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), stats], names=[id_col, "stats"])
+                rows = statistics(_texts(part.column(1))).astype(np.float32)
+                stats = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), stats], names=["label", "stats"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, stats array<float>")
-
-
-def train(stats: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", limit: int = SAMPLE_ROWS) -> Trees:
-    """Trees from the statistics of a sample of the labelled rows for which `learn` holds."""
-    known = labels.where(learn & F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality"))
-    n = known.count()
-    rate = min(1.0, limit / max(n, 1))
-    drawn = known.where(F.pmod(F.xxhash64(id_col, F.lit(29)), F.lit(1 << 30)) < int(rate * (1 << 30)))
-    # About `limit` ids, so the broadcast is bounded; ids that repeat in the documents are learnt from once each.
-    rows = stats.join(F.broadcast(drawn), id_col).dropDuplicates([id_col]).select("quality", "stats").toPandas()
+    # The sample bounds the broadcast; an id that repeats in the documents is learnt from once.
+    rows = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col).groupBy(id_col, "_label").agg(F.min(text_col).alias("_text"))
+    found = rows.select("_label", "_text").mapInArrow(run, "label int, stats array<float>").toPandas()
     model = Trees()
-    if len(rows) and rows["quality"].nunique() > 1:
-        x = np.array(rows["stats"].tolist(), dtype=np.float64)
+    if len(found) and found["label"].nunique() > 1:
+        x = np.array(found["stats"].tolist(), dtype=np.float64)
         order = np.lexsort(x.T)
-        model.fit(x[order], rows["quality"].to_numpy(dtype=np.float64)[order])
-    elif len(rows):
-        model.base = 4.0 if rows["quality"].iloc[0] else -4.0
+        model.fit(x[order], found["label"].to_numpy(dtype=np.float64)[order])
+    elif len(found):
+        model.base = 4.0 if found["label"].iloc[0] else -4.0
     return model
 
 
-def classify(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", limit: int = SAMPLE_ROWS) -> DataFrame:
-    """(id, score, predicted) of every row of docs."""
-    stats = written(with_statistics(docs, id_col, text_col))
-    model = docs.sparkSession.sparkContext.broadcast(train(stats, labels, learn, id_col, limit))
+def predict(docs: DataFrame, trees: Trees, columns: list[str], text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns of docs with score and predicted; only the text is looked at, once."""
+    model = docs.sparkSession.sparkContext.broadcast(trees)
+    given = docs.select(*(c for c in columns if c != text_col), text_col)
+    kept = len(given.columns) - (text_col not in columns)
 
     def run(batches):
         for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            score = model.value.score(flat.reshape(-1, len(FEATURES)).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= ACCEPT).astype(np.int32))], names=[id_col, "score", "predicted"])
+            for part in parts(batch, part_of := batch.num_columns - 1):
+                score = model.value.score(statistics(_texts(part.column(part_of))).astype(np.float32).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], pa.array(score), pa.array((score >= ACCEPT).astype(np.int32))], names=[*part.schema.names[:kept], *names])
 
-    kind = stats.schema[id_col].dataType.simpleString()
-    return stats.mapInArrow(run, f"{id_col} {kind}, score double, predicted int")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:kept]), f"`{names[0]}` double", f"`{names[1]}` int"])
+    return given.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

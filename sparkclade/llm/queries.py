@@ -33,8 +33,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality_gbt.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~quality_gbt.held_out())
-    return scored.select("doc_id", quality_gbt.held_out().alias("held_out"), "score", "predicted")
+    docs = table(spark, sf_dir, "documents")
+    trees = quality_gbt.train(docs, table(spark, sf_dir, "labels"), ~quality_gbt.held_out())
+    return quality_gbt.predict(docs, trees, ["doc_id"]).select("doc_id", quality_gbt.held_out().alias("held_out"), "score", "predicted")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
