@@ -9,7 +9,8 @@ share a shingle among the first n - ceil(t n) + 1 of each, their prefixes.
  2. Groups are dealt by the shingles of their prefixes.  Groups that share a shingle
     which few groups have are paired; where many have it, each is tied to the most
     central group instead, so the work is linear in their number.
- 3. Pairs and ties are expanded to distinct sets and verified by exact intersection.
+ 3. Pairs and ties are expanded to distinct sets; pairs that cannot be similar by size
+    and a histogram of their hashes go; the rest are verified by exact intersection.
  4. Behind a tie, sets that did not link to the central one are still compared with
     all others of the same centre, block against block; only sets already linked to
     the centre need no comparison with each other, as they are connected.
@@ -54,14 +55,20 @@ def cells(sets: np.ndarray) -> np.ndarray:
     return (sets >> _U(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def histogram(shingles: np.ndarray) -> bytes:
+    """How many of a set's hashes begin with which byte: two sets have no more in common than
+    the sum of the smaller counts."""
+    return np.minimum(np.bincount((shingles >> _U(56)).astype(np.int64), minlength=256), 0xFFFF).astype(np.uint16).tobytes()
+
+
 def _texts(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One pass over all texts: for each row its set's size and fingerprint, and the task's part of the sketch.
+    """One pass over all texts: for each row its set's size, fingerprint and histogram, and the task's part of the sketch.
 
-    Rows with a null `row` column are compressed rows of the sketch."""
+    Rows with a cell_row are compressed rows of the sketch."""
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
@@ -73,7 +80,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 first = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
                 second = np.array([mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
+                    [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.nulls(len(sets), pa.int32()), pa.array([histogram(s) for s in sets], pa.binary())],
                     names=["id", "n", "print1", "print2", "cell_row", "counts"],
                 )
         blocks = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(-1, SKETCH_ROW)]
@@ -222,6 +229,27 @@ def _candidates(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, ties.union(hot).distinct()
 
 
+def _possible(edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """The edges (a, b, tie) whose sets can be similar enough by size and histogram; ties stay."""
+    known = rows.select("id", "n", "counts")
+    both = edges.join(known.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ha")), "a")
+    both = both.join(known.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("hb")), "b")
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(-1, 256) for i in (5, 6))
+            na, nb = (batch.column(i).to_numpy() for i in (3, 4))
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            # A full counter says nothing.
+            fits = (WHOLE * most >= SHARE * (na + nb - most)) | (np.minimum(x, y) == 0xFFFF).any(axis=1)
+            kept = batch.filter(pa.array(fits | batch.column(2).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays(kept.columns[:3], names=["a", "b", "tie"])
+
+    return both.select("a", "b", "tie", "na", "nb", "ha", "hb").mapInArrow(run, "a bigint, b bigint, tie boolean").distinct()
+
+
 def _overlaps(rows: DataFrame) -> DataFrame:
     """(a, b, hub, inter, na, nb) from rows that hold both sets."""
 
@@ -282,7 +310,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(small(wanted), "id", "left_semi")
-    return rows.mapInArrow(run, "id bigint, shingles binary").dropDuplicates(["id"])
+    return rows.mapInArrow(run, "id bigint, shingles binary")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,7 +318,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     scanned = written(_scan(docs, id_col, text_col))
     sketch = spark.sparkContext.broadcast(_sketch(scanned))
-    rows = scanned.where("cell_row is null").select("id", "n", "print1", "print2")
+    rows = scanned.where("cell_row is null").select("id", "n", "print1", "print2", "counts")
     # Each distinct set by its smallest id.
     named = rows.where("n > 0 and id is not null").groupBy("n", "print1", "print2").agg(F.min("id").alias("rep"))
     named = written(named)
@@ -303,7 +331,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     hubs = groups.groupBy("grp").agg(F.min("rep").alias("b")).select(F.col("grp").alias("gb"), "b")
     expanded = pairs.select(F.col("a").alias("ga"), F.col("b").alias("gb")).join(left, "ga").join(right, "gb").select("a", "b", F.lit(False).alias("tie"))
     held = ties.select(F.col("a").alias("ga"), F.col("hub").alias("gb")).join(left, "ga").join(hubs, "gb").select("a", "b", F.lit(True).alias("tie"))
-    edges = written(expanded.union(held).union(several).where("a <> b").distinct())
+    edges = written(_possible(expanded.union(held).union(several).where("a <> b").distinct(), rows))
     wanted = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
     sets = written(_sets(docs, wanted, id_col, text_col))
     both = edges.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
@@ -311,7 +339,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     linked = f"{WHOLE} * inter >= {SHARE} * (na + nb - inter)"
     links = checked.where(linked).select("a", "b").union(_behind(checked, sets, linked))
     roots = components(links)
-    whole = rows.join(named, ["n", "print1", "print2"], "left").join(roots, F.col("rep") == F.col("node"), "left")
+    whole = rows.drop("counts").join(named, ["n", "print1", "print2"], "left").join(roots, F.col("rep") == F.col("node"), "left")
     return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id")).alias("component_id"))
 
 
