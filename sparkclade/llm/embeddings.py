@@ -95,10 +95,11 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return kept
 
 
-def compare(left: pd.DataFrame, right: pd.DataFrame | None, table: int, cosine: float) -> pd.DataFrame:
+def compare(left: pd.DataFrame, right: pd.DataFrame | None, table: int, bucket: int, cosine: float) -> pd.DataFrame:
     """Links between two blocks of one bucket (or within one), as counts and forest edges.
 
-    `weight` of a row is how many rows have that very vector."""
+    `weight` of a row is how many rows have that very vector.  A pair counts in the first
+    table, and there in the lowest bucket, that it shares."""
     both = left if right is None else pd.concat([left, right], ignore_index=True)
     width = len(both["embedding"].iloc[0])
     x = unit(np.concatenate(both["embedding"].to_numpy()), width)
@@ -112,8 +113,10 @@ def compare(left: pd.DataFrame, right: pd.DataFrame | None, table: int, cosine:
     ids = both["vec_id"].to_numpy()
     distinct = ids[a] != ids[b]
     a, b = a[distinct], b[distinct]
-    if table and len(a):
-        code = np.array(both["code"].tolist(), dtype=np.int32).reshape(len(both), -1, PROBES)[:, :table]
+    if len(a):
+        code = np.array(both["code"].tolist(), dtype=np.int32).reshape(len(both), -1, PROBES)[:, : table + 1].astype(np.int64)
+        # In this table only lower buckets come first; in those before, all.
+        code[:, table] = np.where(code[:, table] < bucket, code[:, table], -1 - np.arange(len(both))[:, None])
         met = np.zeros(len(a), dtype=bool)
         for at in range(0, len(a), 50_000):
             p, q = code[a[at : at + 50_000]], code[b[at : at + 50_000]]
@@ -158,14 +161,14 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, bloc
     sent = dealt.select("vec_id", *bucket, "mine", pairs.alias("p")).select("vec_id", *bucket, "mine", "p.lo", "p.hi").join(coded.select("vec_id", "weight", "embedding", "code"), "vec_id")
 
     def links(pdf):
-        lo, hi, table = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0]), int(pdf["table"].iloc[0])
+        lo, hi, table, bucket_of = (int(pdf[c].iloc[0]) for c in ("lo", "hi", "table", "bucket"))
         left = pdf[pdf["mine"] == lo].reset_index(drop=True)
         if lo == hi:
-            return compare(left, None, table, cosine)
+            return compare(left, None, table, bucket_of, cosine)
         right = pdf[pdf["mine"] == hi].reset_index(drop=True)
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": [], "links": []}).astype("int64")
-        return compare(left, right, table, cosine)
+        return compare(left, right, table, bucket_of, cosine)
 
     found = written(sent.groupBy(*bucket, "lo", "hi").applyInPandas(links, "a bigint, b bigint, links bigint"))
     roots = components(found.where("a <> b").select("a", "b"))
