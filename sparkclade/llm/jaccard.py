@@ -9,8 +9,8 @@ share a shingle among the first n - ceil(t n) + 1 of each, their prefixes.
  2. Groups are dealt by the shingles of their prefixes.  Groups that share a shingle
     which few groups have are paired; where many have it, each is tied to the most
     central group instead, so the work is linear in their number.
- 3. Pairs and ties are expanded to distinct sets; pairs that cannot be similar by size
-    and a histogram of their hashes go; the rest are verified by exact intersection.
+ 3. Pairs and ties are expanded to distinct sets; those that cannot be similar by size
+    and a histogram of their hashes need no sets; the rest are verified by exact intersection.
  4. Behind a tie, sets that did not link to the central one are still compared with
     all others of the same centre, block against block; only sets already linked to
     the centre need no comparison with each other, as they are connected.
@@ -28,6 +28,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +38,10 @@ from sparkclade.llm.shingles import SEGMENT, mix, shingle_sets
 
 #: Similarity threshold as a fraction of integers.
 SHARE, WHOLE = 3, 4
-#: Cells of the count sketch, as a power of two: its size is fixed, 4 bytes for each.
-SKETCH_BITS = 21
+#: Cells of the count sketch, as a power of two: its size is fixed, 4 bytes for each in the tasks that count, 1 where it is sent.
+SKETCH_BITS = 23
 #: Cells in a row of the sketch table.
-SKETCH_ROW = 1 << 16
+SKETCH_ROW = 1 << 18
 #: Groups sharing a shingle that are paired; where more do, they are tied to a centre.
 PAIRED = 12
 #: A shingle whose cell counts more than this is dealt to several tasks.
@@ -56,9 +57,28 @@ def cells(sets: np.ndarray) -> np.ndarray:
 
 
 def histogram(shingles: np.ndarray) -> bytes:
-    """How many of a set's hashes begin with which byte: two sets have no more in common than
-    the sum of the smaller counts."""
-    return np.minimum(np.bincount((shingles >> _U(56)).astype(np.int64), minlength=256), 0xFFFF).astype(np.uint16).tobytes()
+    """How many of a set's hashes begin with which bits: two sets have no more in common than
+    the sum of the smaller counts.  Two to four hashes fall on a counter, whatever the size."""
+    bits = (len(shingles) // 4).bit_length()
+    places = (shingles >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(shingles), dtype=np.int64)
+    return np.minimum(np.bincount(places, minlength=1 << bits), 0xFF).astype(np.uint8).tobytes()
+
+
+def possible(n: int, m: int, x: bytes, y: bytes) -> bool:
+    """Whether sets of n and m shingles with histograms x and y can be similar enough."""
+    if WHOLE * min(n, m) < SHARE * max(n, m):
+        return False
+    p, q = (np.frombuffer(v, dtype=np.uint8) for v in (x, y))
+    # A full counter says nothing.
+    if (p == 0xFF).any() or (q == 0xFF).any():
+        return True
+    p, q = p.astype(np.int64), q.astype(np.int64)
+    while len(p) > len(q):
+        p = p.reshape(-1, 2).sum(axis=1)
+    while len(q) > len(p):
+        q = q.reshape(-1, 2).sum(axis=1)
+    most = int(np.minimum(p, q).sum())
+    return WHOLE * most >= SHARE * (n + m - most)
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -90,7 +110,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, "id bigint, n bigint, print1 bigint, print2 bigint, cell_row int, counts binary")
 
 
-def _sketch(scanned: DataFrame) -> np.ndarray:
+def _sketch(scanned: DataFrame) -> tuple[np.ndarray, float]:
     """The sum of all parts: the driver gets as many bytes as the sketch has, whatever the input."""
 
     def add(pdf):
@@ -106,25 +126,44 @@ def _sketch(scanned: DataFrame) -> np.ndarray:
     out = np.zeros(((1 << SKETCH_BITS) // SKETCH_ROW, SKETCH_ROW), dtype=np.uint32)
     for r in rows:
         out[r["cell_row"]] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint32)
-    return out.ravel()
+    return ranks(out.ravel())
+
+
+def ranks(counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """How frequent a cell's shingles are, from 0 to 63, two steps for each doubling.
+
+    The median is what a cell of rare shingles holds; what is above it is measured in
+    units of its noise, so that the order stays useful when all cells are well filled."""
+    usual = float(np.median(counts))
+    above = np.maximum(counts.astype(np.float64) - usual, 0)
+    return np.minimum(63, np.floor(2 * np.log2(above / _noise(usual) + 1))).astype(np.uint8), _noise(usual)
+
+
+def _noise(usual: float) -> float:
+    return 1 + usual**0.5
+
+
+def salts_of(noise: float) -> np.ndarray:
+    """Parts that the shingles of each rank are dealt to, by the most that they count."""
+    return 1 + (noise * 2.0 ** ((np.arange(64) + 1) / 2) / SALTED).astype(np.int64)
 
 
 def prefix(shingles: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """A set's first shingles, rarest first, how often their cells count, and the set's centrality."""
+    """A set's first shingles, rarest first, the ranks of their cells, and the set's centrality."""
     n = len(shingles)
     often = sketch[cells(shingles)]
-    rank = np.minimum(63, np.floor(2 * np.log2(often.astype(np.float64) + 1))).astype(np.uint64)
-    keys = (rank << _U(58)) | (shingles >> _U(6))
+    keys = (often.astype(np.uint64) << _U(58)) | (shingles >> _U(6))
     order = np.argsort(keys)
     take = order[: n - -(-SHARE * n // WHOLE) + 1]
-    return keys[take], often[take], int(1000 * np.log2(often.astype(np.float64) + 1).mean())
+    return keys[take], often[take], int(500 * often.mean())
 
 
 def _prefixes(docs: DataFrame, sketch, id_col: str, text_col: str) -> DataFrame:
     """(token, salt, hot, grp, n, centre) for each shingle of each group's prefix, and a row (hot -1, the id as token) that gives each id's group."""
 
     def run(batches):
-        table, seen = sketch.value, set()
+        (table, noise), seen = sketch.value, set()
+        parts_of = salts_of(noise)
         for batch in batches:
             for part in parts(batch, 1, SEGMENT):
                 columns: list[list[np.ndarray]] = [[] for _ in range(6)]
@@ -139,7 +178,7 @@ def _prefixes(docs: DataFrame, sketch, id_col: str, text_col: str) -> DataFrame:
                     if fresh and len(seen) < 200_000:
                         seen.add(grp)
                     k = len(keys) if fresh else 0
-                    salts = 1 + often[:k].astype(np.int64) // SALTED
+                    salts = parts_of[often[:k]]
                     mine = (int(grp) & 0x7FFFFFFF) % salts
                     for out, values in zip(columns, (np.append(keys[:k].view(np.int64), doc), np.append(mine, 0), np.append((salts > 1).astype(np.int8), -1), np.full(k + 1, grp), np.full(k + 1, len(s)), np.full(k + 1, centre)), strict=True):
                         out.append(values)
@@ -230,24 +269,18 @@ def _candidates(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _possible(edges: DataFrame, rows: DataFrame) -> DataFrame:
-    """The edges (a, b, tie) whose sets can be similar enough by size and histogram; ties stay."""
+    """(a, b, tie, open): open edges join sets that can be similar enough by size and histogram; of the others only ties stay."""
     known = rows.select("id", "n", "counts")
     both = edges.join(known.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ha")), "a")
     both = both.join(known.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("hb")), "b")
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(-1, 256) for i in (5, 6))
-            na, nb = (batch.column(i).to_numpy() for i in (3, 4))
-            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-            # A full counter says nothing.
-            fits = (WHOLE * most >= SHARE * (na + nb - most)) | (np.minimum(x, y) == 0xFFFF).any(axis=1)
-            kept = batch.filter(pa.array(fits | batch.column(2).to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays(kept.columns[:3], names=["a", "b", "tie"])
+            fits = pa.array([possible(*row) for row in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5, 6)), strict=True)], pa.bool_())
+            marked = pa.RecordBatch.from_arrays([*batch.columns[:3], fits], names=["a", "b", "tie", "open"])
+            yield marked.filter(pc.or_(fits, batch.column(2)))
 
-    return both.select("a", "b", "tie", "na", "nb", "ha", "hb").mapInArrow(run, "a bigint, b bigint, tie boolean").distinct()
+    return both.select("a", "b", "tie", "na", "nb", "ha", "hb").mapInArrow(run, "a bigint, b bigint, tie boolean, open boolean").distinct()
 
 
 def _overlaps(rows: DataFrame) -> DataFrame:
@@ -332,10 +365,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     expanded = pairs.select(F.col("a").alias("ga"), F.col("b").alias("gb")).join(left, "ga").join(right, "gb").select("a", "b", F.lit(False).alias("tie"))
     held = ties.select(F.col("a").alias("ga"), F.col("hub").alias("gb")).join(left, "ga").join(hubs, "gb").select("a", "b", F.lit(True).alias("tie"))
     edges = written(_possible(expanded.union(held).union(several).where("a <> b").distinct(), rows))
-    wanted = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    wanted = edges.select(F.col("a").alias("id")).union(edges.where("open").select("b")).distinct()
     sets = written(_sets(docs, wanted, id_col, text_col))
-    both = edges.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
-    checked = written(_overlaps(both))
+    both = edges.where("open").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
+    shut = edges.where("not open").select("a", "b", "tie", F.lit(0).cast("long").alias("inter"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb"))
+    checked = written(_overlaps(both).union(shut))
     linked = f"{WHOLE} * inter >= {SHARE} * (na + nb - inter)"
     links = checked.where(linked).select("a", "b").union(_behind(checked, sets, linked))
     roots = components(links)
