@@ -19,8 +19,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkclade.llm.common import components, written
 
@@ -95,41 +98,118 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return kept
 
 
-def compare(left: pd.DataFrame, right: pd.DataFrame | None, table: int, bucket: int, cosine: float) -> pd.DataFrame:
-    """Links between two blocks of one bucket (or within one), as counts and forest edges.
-
-    `weight` of a row is how many rows have that very vector.  A pair counts in the first
+#: Rows of the small groups that are compared at once, and most rows of such a group.
+AT_ONCE, FEW = 50_000, 16
+
+
+def _near(x: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of x with at least that cosine, in each group (start, size): within it
+    where all rows are on the left side (left = size), else from the left side to the right."""
+    found_a, found_b = [], []
+    within = left == size
+    for d in range(2, FEW + 1):
+        first = start[within & (size == d)]
+        i, j = np.triu_indices(d, 1)
+        step = max(1, AT_ONCE // len(i))
+        for at in range(0, len(first), step):
+            a, b = ((first[at : at + step, None] + k).ravel() for k in (i, j))
+            near = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
+            found_a.append(a[near])
+            found_b.append(b[near])
+    for g in np.flatnonzero((left > 0) & (~within | (size > FEW))).tolist():
+        s, n, k = int(start[g]), int(size[g]), int(left[g])
+        if within[g]:
+            a, b = np.nonzero(np.triu(x[s : s + n] @ x[s : s + n].T >= cosine, 1))
+        else:
+            a, b = np.nonzero(x[s : s + k] @ x[s + k : s + n].T >= cosine)
+            b = b + k
+        found_a.append(a + s)
+        found_b.append(b + s)
+    none = [np.zeros(0, dtype=np.int64)]
+    return np.concatenate(found_a + none), np.concatenate(found_b + none)
+
+
+def _first_meeting(a, b, code, table, bucket) -> np.ndarray:
+    """Which pairs of rows share no bucket of an earlier table, and no lower one of this table."""
+    first = np.ones(len(a), dtype=bool)
+    place = np.arange(code.shape[1])[None, :, None]
+    for at in range(0, len(a), AT_ONCE):
+        some = slice(at, at + AT_ONCE)
+        p, q = code[a[some]], code[b[some]]
+        t, v = table[a[some], None, None], bucket[a[some], None, None]
+        before = (place < t) | ((place == t) & (p < v))
+        first[some] = ~((p[:, :, :, None] == q[:, :, None, :]) & before[:, :, :, None]).any(axis=(1, 2, 3))
+    return first
+
+
+def compare(rows: pa.RecordBatch, cosine: float) -> pa.RecordBatch | None:
+    """Links in whole groups of SENT rows, sorted by SORTED, all of one width, as counts and forest edges.
+
+    `weight` of a row is how many ids have that very vector.  A pair counts in the first
     table, and there in the lowest bucket, that it shares."""
-    both = left if right is None else pd.concat([left, right], ignore_index=True)
-    width = len(both["embedding"].iloc[0])
-    x = unit(np.concatenate(both["embedding"].to_numpy()), width)
-    n = len(left)
-    near = x[:n] @ (x[:n] if right is None else x[n:]).T >= cosine
-    if right is None:
-        near = np.triu(near, 1)
-    a, b = np.nonzero(near)
-    if right is not None:
-        b = b + n
-    ids = both["vec_id"].to_numpy()
+    column = {k: rows.column(k).to_numpy(zero_copy_only=False) for k in ("table", "bucket", "lo", "hi", "mine", "vec_id", "weight")}
+    start = np.append(0, np.flatnonzero(changes(rows)) + 1)
+    size = np.diff(np.append(start, rows.num_rows))
+    left = np.add.reduceat((column["mine"] == column["lo"]).astype(np.int64), start)
+    # Two blocks of which one is empty have nothing to compare.
+    left[(left == size) & (column["lo"][start] != column["hi"][start])] = 0
+    x = unit(rows.column("embedding").flatten().to_numpy(zero_copy_only=False), int(rows.column("width")[0].as_py()))
+    a, b = _near(x, start, size, left, cosine)
+    ids, weight = column["vec_id"], column["weight"]
     distinct = ids[a] != ids[b]
     a, b = a[distinct], b[distinct]
-    if len(a):
-        code = np.array(both["code"].tolist(), dtype=np.int32).reshape(len(both), -1, PROBES)[:, : table + 1].astype(np.int64)
-        # In this table only lower buckets come first; in those before, all.
-        code[:, table] = np.where(code[:, table] < bucket, code[:, table], -1 - np.arange(len(both))[:, None])
-        met = np.zeros(len(a), dtype=bool)
-        for at in range(0, len(a), 50_000):
-            p, q = code[a[at : at + 50_000]], code[b[at : at + 50_000]]
-            met[at : at + 50_000] = (p[:, :, :, None] == q[:, :, None, :]).any(axis=(1, 2, 3))
-        a, b = a[~met], b[~met]
+    code = rows.column("code").flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1, PROBES)
+    first = _first_meeting(a, b, code, column["table"], column["bucket"])
+    a, b = a[first], b[first]
     if not len(a):
-        return pd.DataFrame({"a": [], "b": [], "links": []}).astype("int64")
-    weight = both["weight"].to_numpy()
-    links = np.bincount(a, weights=weight[b], minlength=len(both)) + np.bincount(b, weights=weight[a], minlength=len(both))
+        return None
+    links = np.bincount(a, weights=weight[b], minlength=len(ids)) + np.bincount(b, weights=weight[a], minlength=len(ids))
     touched = np.flatnonzero(links)
-    pairs = forest(a, b, len(both))
-    counted = pd.DataFrame({"a": ids[touched], "b": ids[touched], "links": links[touched].astype("int64")})
-    return pd.concat([counted, pd.DataFrame({"a": [ids[i] for i, _ in pairs], "b": [ids[j] for _, j in pairs], "links": 0})], ignore_index=True)
+    pairs = np.array(forest(a, b, len(ids)), dtype=np.int64)
+    none = np.zeros(len(pairs), dtype=np.int64)
+    out = (np.append(ids[touched], ids[pairs[:, 0]]), np.append(ids[touched], ids[pairs[:, 1]]), np.append(links[touched].astype(np.int64), none))
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in out], names=["a", "b", "links"])
+
+
+#: What names a group: two blocks of a bucket, or one; and the order of the rows.
+GROUP = ["label", "width", "table", "bucket", "lo", "hi"]
+SORTED = [*GROUP, "mine_last", "vec_id"]
+SENT = [*GROUP, "mine", "vec_id", "weight", "embedding", "code"]
+
+
+def changes(rows: pa.RecordBatch) -> np.ndarray:
+    """Whether each row but the first is of another group than the one before."""
+    out = np.zeros(max(rows.num_rows - 1, 0), dtype=bool)
+    for name in GROUP:
+        values = rows.column(name)
+        out |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+    return out
+
+
+def compare_sorted(batches, cosine: float):
+    """compare() over batches of sorted rows, of which the last group is held until it is whole."""
+    held: list[pa.RecordBatch] = []
+
+    def done(whole: pa.RecordBatch):
+        width = whole.column("width").to_numpy()
+        cuts = [0, *(np.flatnonzero(width[1:] != width[:-1]) + 1).tolist(), whole.num_rows]
+        for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+            if to > at and (found := compare(whole.slice(at, to - at), cosine)):
+                yield found
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows = pa.concat_batches(held)
+        ends = np.flatnonzero(changes(rows))
+        if len(ends):
+            cut = int(ends[-1]) + 1
+            yield from done(rows.slice(0, cut))
+            rows = rows.slice(cut)
+        held = [rows]
+    if held:
+        yield from done(held[0])
 
 
 def dedup(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
@@ -137,7 +217,9 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, bloc
     e = F.col("embedding")
     plain = F.expr("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)")
     valid = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & e.isNotNull() & F.coalesce(plain, F.lit(False))
-    usable = vectors.where(valid).select("vec_id", "label", e.cast("array<double>").alias("embedding")).withColumn("width", F.size("embedding"))
+    # What is float at first is sent as float; all sums are of doubles.
+    kind = "array<float>" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull) else "array<double>"
+    usable = vectors.where(valid).select("vec_id", "label", e.cast(kind).alias("embedding")).withColumn("width", F.size("embedding"))
     ids = usable.select("vec_id", "label", "width", F.sha2(F.concat_ws(",", "embedding"), 256).alias("digest"), "embedding").groupBy("vec_id").agg(F.min(F.struct("label", "width", "digest", "embedding")).alias("v")).select("vec_id", "v.*")
     ids = written(ids)
     # One row for each distinct vector of a label, with the smallest id and how many ids have it.
@@ -149,7 +231,7 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, bloc
                 found = codes(unit(np.concatenate(some["embedding"].to_numpy()), int(width)), tables)
                 yield pd.DataFrame({"vec_id": some["rep"], "label": some["label"], "width": some["width"], "weight": some["weight"], "embedding": some["embedding"], "code": [c.ravel() for c in found]})
 
-    coded = reps.mapInPandas(hashed, f"vec_id bigint, label {reps.schema['label'].dataType.simpleString()}, width int, weight bigint, embedding array<double>, code array<int>")
+    coded = reps.mapInPandas(hashed, f"vec_id bigint, label {reps.schema['label'].dataType.simpleString()}, width int, weight bigint, embedding {kind}, code array<int>")
     coded = written(coded)
     # A bucket's rows are dealt to blocks by a hash of the id; how many blocks follows from its size.
     spots = coded.select("vec_id", "label", "width", F.posexplode("code").alias("place", "bucket")).select("vec_id", "label", "width", F.expr(f"place div {PROBES}").cast("int").alias("table"), "bucket").distinct()
@@ -160,17 +242,9 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, bloc
     pairs = F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, mine) as lo, greatest(o, mine) as hi))"))
     sent = dealt.select("vec_id", *bucket, "mine", pairs.alias("p")).select("vec_id", *bucket, "mine", "p.lo", "p.hi").join(coded.select("vec_id", "weight", "embedding", "code"), "vec_id")
 
-    def links(pdf):
-        lo, hi, table, bucket_of = (int(pdf[c].iloc[0]) for c in ("lo", "hi", "table", "bucket"))
-        left = pdf[pdf["mine"] == lo].reset_index(drop=True)
-        if lo == hi:
-            return compare(left, None, table, bucket_of, cosine)
-        right = pdf[pdf["mine"] == hi].reset_index(drop=True)
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "links": []}).astype("int64")
-        return compare(left, right, table, bucket_of, cosine)
-
-    found = written(sent.groupBy(*bucket, "lo", "hi").applyInPandas(links, "a bigint, b bigint, links bigint"))
+    # Small groups are many, so they are not dealt to a call each but sorted, and compared many at a time.
+    sent = sent.select(*SENT, (F.col("mine") != F.col("lo")).alias("mine_last")).repartition(*GROUP).sortWithinPartitions(*SORTED).select(*SENT)
+    found = written(sent.mapInArrow(lambda batches: compare_sorted(batches, cosine), "a bigint, b bigint, links bigint"))
     roots = components(found.where("a <> b").select("a", "b"))
     counts = found.groupBy("a").agg(F.sum("links").alias("links"))
     state = reps.select(F.col("rep"), "label", "width", "digest", "weight").join(counts, F.col("rep") == F.col("a"), "left").join(roots, F.col("rep") == F.col("node"), "left")
