@@ -4,7 +4,8 @@ A text is brought to a canonical form: case, punctuation and white space,
 copyright lines and equivalent spellings no longer count.  The digest of the form
 is looked up among those of known licences, by a hash join on a table whose size
 is that of the list below.  Only an entire text is a licence; a text that quotes
-one is not.
+one is not.  A known title before a licence's first words, and the advice on how to
+apply a licence after its end, may be there or not.
 
 A null or empty text matches nothing; repeated rows are matched each; a licence
 table with repeated digests gives the smallest name.
@@ -12,6 +13,9 @@ table with repeated digests gives the smallest name.
 
 from __future__ import annotations
 
+import pkgutil
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +38,15 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
 
@@ -54,14 +67,63 @@ SPELLINGS = {
     "favour": "favor", "fulfil": "fulfill", "organisation": "organization", "recognise": "recognize", "noncommercial": "non commercial", "copyright owner": "copyright holder", "copyright owners": "copyright holders",
 }
 
+#: Longer texts, as files beside this module.
+FILES = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense")
+KNOWN |= {name: pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode() for name in FILES}
+
+# Words that follow 'copyright', or the mark (c) of a list, where no holder is named.
+NO_HOLDER = """a also an and any are as at be but by claim claims disclaimer disclaimers doctrines each for from has held holder holders if in interest
+interests is it its law laws licence licences license licenses like line lines no nor not notice notices of on or otherwise owner owners ownership
+patent permission permissions protection right rights shall statement statements such that the then these this those to trademark treaty under use
+when where which will with you your""".split()
+
+
+def _other_word(words: set[str], first: bool = True) -> str:
+    """Pattern for how a word begins that is none of `words`; it needs no look-ahead, which RE2 lacks."""
+    heads = sorted({w[0] for w in words if w})
+    if first or "" in words:
+        free = "[" + "".join(c for c in "abcdefghijklmnopqrstuvwxyz0123456789" if c not in heads) + "]"
+    else:
+        free = "[^" + "".join(heads) + r"\n]"
+    return "(" + "|".join([free, *(h + _other_word({w[1:] for w in words if w[:1] == h}, False) for h in heads)]) + ")"
+
+
+_NAME = rf"({_other_word(set(NO_HOLDER))}|the[^\n]*[^a-z0-9\n](authors|contributors|developers|foundation|project|regents|team))"
 #: Whole lines that only say who has the copyright.
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]|\(c\)|all rights reserved)[^\n]*"
+COPYRIGHT_LINE = rf"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*(\(c\)|©)|copyright[^a-z0-9\n]+{_NAME}|\(c\)[^a-z0-9\n]*(copyright|[^\n]*(19|20)[0-9][0-9]|{_NAME})|©|all rights reserved)[^\n]*"
+
+# Fixed values, in canonical form: titles, and the first words of the licences that have them.
+TITLES = [
+    (r"mit license( mit| expat)?|expat license( mit)?", "permission is hereby granted free of charge to any person"),
+    (r"isc license( isc| iscl)?|bsd zero clause license|zero clause bsd( license)?|0bsd( license)?|free public license 1 0 0", "permission to use copy modify and or distribute this software"),
+    (r"zlib license|zlib libpng license", "this software is provided as is without any express or implied warranty"),
+    (r"bsd license|(bsd [23] clause|[23] clause bsd|simplified bsd|freebsd|new bsd|modified bsd|revised bsd|bsd [23] clause simplified|bsd [23] clause new or revised)( license)?", "redistribution and use in source and binary forms"),
+    (r"unlicense", "this is free and unencumbered software"),
+]
+
+
+# Addresses of the licences themselves, by either scheme.
+ADDRESSES = [(f"{a} https {b}", f"{a} http {b}") for a, b in (("please refer to", "unlicense org"), ("obtain one at", "mozilla org mpl 2 0"), ("version 2 0 january 2004", "www apache org licenses"))]
+
+
+def _form(text: str, steps: list[tuple[str, str]]) -> str:
+    out = text.translate({k: k + 32 for k in range(65, 91)})
+    for pattern, to in steps:
+        out = re.sub(pattern, to, out)
+    return out
+
+
+def _advice(steps: list[tuple[str, str]]) -> list[str]:
+    """What the known texts have after their end, on how to apply them, by either scheme of its addresses."""
+    found = (re.split("END OF TERMS AND CONDITIONS", v)[1:] for v in KNOWN.values())
+    return [re.sub(r"\bhttps?\b", "https?", _form(v[0], steps).strip()) for v in found if v and v[0].strip()]
 
 
 def canonical_steps() -> list[tuple[str, str]]:
     """(pattern, replacement) in turn, on the lower-cased text; patterns mean the same in Java and RE2."""
     steps = [(COPYRIGHT_LINE, " "), (r"[^a-z0-9]+", " ")]
-    return steps + [(rf"\b{a}\b", b) for a, b in SPELLINGS.items()]
+    steps += [(rf"\b{a}\b", b) for a, b in SPELLINGS.items()]
+    return steps + [(rf"^ ?(the )?({title}) {start}", start) for title, start in TITLES] + [(rf"{a} ?$", "") for a in _advice(steps)] + ADDRESSES
 
 
 def canonical(text: Column) -> Column:

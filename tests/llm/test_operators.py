@@ -227,3 +227,38 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in got} >= {1, 3, 7} and not {r["doc_id"] for r in got} & {2, 4, 5, 6, 8}
+
+
+def test_licenses_in_ordinary_layout(spark):
+    """Whole files as they are found: wrapped, titled, with lines that name holders."""
+    import textwrap
+
+    def wrapped(text, width):
+        named = re.compile(r"Copyright (\(C\)|\[)")
+        parts = []
+        for p in re.split(r"\n\s*\n", text):
+            lines = p.split("\n")
+            parts.append("\n".join([x for x in lines if named.search(x)] + textwrap.wrap(" ".join(x for x in lines if not named.search(x)), width, break_long_words=False, break_on_hyphens=False)))
+        return "\n\n".join(parts)
+
+    K = licenses.KNOWN
+    assert set(K) >= {"Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"}
+    whole = [(k, wrapped(v, w)) for k, v in K.items() for w in (38, 60, 72, 79)]
+    titles = {"MIT": "The MIT License (MIT)", "ISC": "ISC License", "0BSD": "Zero-Clause BSD", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": 'BSD 3-Clause "New" or "Revised" License', "Zlib": "zlib License"}
+    for k, title in titles.items():
+        for holder in ("Copyright (c) 2020, Some One", "Copyright Some One", "Copyright 2019 The Authors\nCopyright 2020 Others", "(c) Some One", "© Some One"):
+            whole += [(k, f"{title}\n\n{holder}\n\n{wrapped(K[k], 70)}"), (k, f"{holder}\nAll rights reserved.\n\n{wrapped(K[k], 70)}\n")]
+    whole += [(k, K[k].split("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS\n") for k in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1")]
+    parts = ["MIT License", K["MIT"] + "\nMore words.", "ISC License\n\n" + K["ISC"][:200], K["GPL-3.0"][:9000], "MIT License\n\n" + K["Zlib"].replace("not required", "required")]
+    want = [k for k, _ in whole] + [None] * len(parts)
+    rows = spark.createDataFrame(list(enumerate([t for _, t in whole] + parts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(rows).collect()}
+    assert [got[i]["license_id"] for i in range(len(want))] == want and all(r["digest"] for r in got.values())
+    assert len({got[i]["digest"] for i, k in enumerate(want) if k == "ISC"}) == 1
+    import duckdb
+
+    from sparkclade.llm.queries import ORACLE_SQL
+
+    con = duckdb.connect()
+    con.register("documents", rows.toPandas())
+    assert {r[0]: r[1:] for r in con.sql(ORACLE_SQL["op8_license_scan"]).fetchall()} == {i: (r["digest"], r["license_id"]) for i, r in got.items()}
