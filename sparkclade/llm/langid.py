@@ -22,10 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkclade.llm.bpe import CACHE, parts, read_ranks
+from sparkclade.llm.common import written
 
 WORD = re.compile(r"[^\W\d_]{1,16}")
-#: Bytes of text that training takes at most, in expectation, over all languages.
+#: Bytes of text that training takes at most, over all languages.
 SAMPLE_BYTES = 1_600_000
+#: Distinct texts that training takes of each language at least, where there are as many.
+LEAST = 16
 #: Longest piece of the vocabulary that is used, in bytes.
 PIECE = 8
 STEPS = 4
@@ -191,18 +194,40 @@ def posterior(scores: np.ndarray) -> tuple[int, float]:
 
 
 def sample(docs: DataFrame, learn: Column, limit: int = SAMPLE_BYTES) -> pd.DataFrame:
-    """(lang, text) of a sample of rows that may be learnt from, `limit` bytes in expectation.
-
-    Languages get equal parts of the limit; which rows are taken depends on a hash of
-    the text only, so it is the same for every run and partitioning."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sizes = {r["lang"]: r["bytes"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    """(lang, text) of a sample of rows that may be learnt from: at most `limit` bytes.
+
+    Languages get equal parts of the limit.  Each takes its texts that have a letter in
+    the order of a hash of them, equal ones once, until its part is full; of a text it
+    takes the first bytes, a LEAST-th of the part at most, so LEAST texts always fit.
+    The order depends on the texts only, so it is the same for every run and partitioning."""
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text", F.lit(17)).alias("h"))
+    texts = written(rows.groupBy("lang", "h").agg(F.min(F.octet_length("text")).alias("bytes")))
+    sizes = {r["lang"]: r for r in texts.groupBy("lang").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).collect()}
     if not sizes:
         return pd.DataFrame({"lang": [], "text": []})
     each = limit / len(sizes)
-    rate = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / max(n, 1)))))
-    draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.where(draw < rate[F.col("lang")]).toPandas()
+    longest = max(1, int(each / LEAST))
+
+    def by_lang(values: dict[str, int]) -> Column:
+        return F.create_map(*(F.lit(x) for item in values.items() for x in item))[F.col("lang")]
+
+    # The last hash that each language takes; its share of the texts grows until that is among them.
+    last: dict[str, int] = {}
+    rate = {lang: 2 * max(each / max(r["bytes"], 1), LEAST / r["n"]) for lang, r in sizes.items()}
+    while rate:
+        below = by_lang({lang: min(2**63 - 1, int(x * 2**64) - 2**63) for lang, x in rate.items()})
+        found = texts.where(F.col("h") <= below).select("lang", "h", F.least("bytes", F.lit(longest)).alias("bytes")).toPandas().sort_values(["lang", "h"])
+        for lang, one in found.groupby("lang"):
+            filled = one["bytes"].cumsum() + longest > each
+            if filled.any() or rate[lang] >= 1:
+                last[lang] = int(one["h"][filled.idxmax()] if filled.any() else one["h"].iloc[-1])
+        rate = {lang: 4 * x for lang, x in rate.items() if lang not in last}
+    taken = rows.where(F.col("h") <= by_lang(last)).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    # What comes before the first letter is left out, so that a cut text has one.
+    begun = F.regexp_replace("text", r"^\P{L}+", "")
+    out = taken.select("lang", F.substring(begun, 1, longest).alias("text")).toPandas()
+    out["text"] = [t.encode("utf-8", "replace")[:longest].decode("utf-8", "ignore") or t[:1] for t in out["text"]]
+    return out
 
 
 def train(docs: DataFrame, learn: Column, vocabulary: str, limit: int = SAMPLE_BYTES) -> Model:

@@ -262,3 +262,18 @@ def test_licenses_in_ordinary_layout(spark):
     con = duckdb.connect()
     con.register("documents", rows.toPandas())
     assert {r[0]: r[1:] for r in con.sql(ORACLE_SQL["op8_license_scan"]).fetchall()} == {i: (r["digest"], r["license_id"]) for i, r in got.items()}
+
+
+def test_language_sample_keeps_every_language(spark):
+    """Few long texts, copies and letterless texts: each language that can be learnt is in the model."""
+    rows = [("en", f"{EN}{i} " * 20) for i in range(300)] + [("de", f"{DE}{i} " * 4000) for i in range(3)] + [("xx", "12 34 " * 50 + str(i)) for i in range(40)]
+    rows += [("fr", "le chat et la souris " * 30)] * 200 + [("fr", f"la maison du roi {i} est grande " * 5) for i in range(30)] + [("es", "12 " * 9000 + "el perro y la casa")] + [("it", "12 " * 9 + str(i)) for i in range(60)] + [("it", "il gatto e la casa")]
+    docs = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(rows)], "doc_id bigint, lang string, text string").repartition(3)
+    limit = 60_000
+    got = langid.sample(docs, F.lit(True), limit)
+    n = got["lang"].value_counts()
+    assert n["de"] == 3 and n["en"] >= langid.LEAST and n["fr"] == 31 and n["es"] == 1 and n["it"] == 1 and "xx" not in n
+    assert sum(len(t.encode()) for t in got["text"]) <= limit and not got.duplicated().any()
+    again = langid.sample(docs.repartition(7), F.lit(True), limit)
+    assert sorted(map(tuple, got.values)) == sorted(map(tuple, again.values))
+    assert langid.train(docs, F.lit(True), P.path("byte_bpe_multi_50k.tiktoken"), limit).languages == ["de", "en", "es", "fr", "it"]
