@@ -181,7 +181,7 @@ class Scorer:
         out: list[np.ndarray | None] = []
         for w in words:
             # The pattern also admits numerals that are no letters.
-            if not w or len(w) < 64 and not any(c.isalpha() for x in w for c in x):
+            if not any(c.isalpha() for x in w for c in x):
                 out.append(None)
             else:
                 out.append(self.rows[np.fromiter(map(self.at.__getitem__, w), dtype=np.int64, count=len(w))].sum(axis=0))

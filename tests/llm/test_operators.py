@@ -277,3 +277,9 @@ def test_language_sample_keeps_every_language(spark):
     again = langid.sample(docs.repartition(7), F.lit(True), limit)
     assert sorted(map(tuple, got.values)) == sorted(map(tuple, again.values))
     assert langid.train(docs, F.lit(True), P.path("byte_bpe_multi_50k.tiktoken"), limit).languages == ["de", "en", "es", "fr", "it"]
+
+
+def test_long_texts_of_numerals_have_no_language(docs):
+    model = langid.train(docs, F.lit(True), P.path("byte_bpe_multi_50k.tiktoken"))
+    assert langid.Scorer(model)(["½ ² ① " * 100, "½ ² ① " * 100 + "a"])[0] is None
+    assert langid.Scorer(model)(["½ ² ① " * 100 + "a"])[0] is not None
