@@ -30,8 +30,6 @@ LEAST_COUNTED = 150
 #: Largest Jensen-Shannon distances (base 2, so at most 1) to the closest reference.
 CHAR_DISTANCE = 0.30
 WORD_DISTANCE = 0.345
-#: Languages with a reference: those with most texts.
-LANGUAGES = 64
 
 # The commonest words of each language.
 COMMON = {
@@ -106,10 +104,10 @@ def base_failed() -> Column:
 
 
 def references(counts: DataFrame) -> list[tuple[list[float], list[float]]]:
-    """(class shares, common-word shares) of each reference language: a row for each, at most LANGUAGES."""
+    """(class shares, common-word shares) of each language: a row for each."""
     sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(len(WORDS))]
     good = counts.where(~base_failed() & F.col("lang").isNotNull())
-    rows = good.groupBy("lang").agg(F.count("*").alias("n"), F.sum("word_chars").alias("chars"), F.sum("n_words").alias("words"), *sums).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    rows = good.groupBy("lang").agg(F.count("*").alias("n"), F.sum("word_chars").alias("chars"), F.sum("n_words").alias("words"), *sums).orderBy(F.desc("n"), "lang").collect()
     out = []
     for r in rows:
         both = []
@@ -130,7 +128,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     found = references(counts)
     shares = counts.withColumn("p", F.expr(_with_rest("classes", "word_chars"))).withColumn("q", F.expr(_with_rest("common", "n_words")))
     for name, own, at in (("char_distance", "p", 0), ("word_distance", "q", 1)):
-        each = ", ".join(distance(own, _numbers(r[at])) for r in found)
-        shares = shares.withColumn(name, F.expr(f"array_min(array({each}))") if found else F.lit(0.0))
+        each = "array(" + ", ".join(_numbers(r[at]) for r in found) + ")"
+        shares = shares.withColumn(name, F.expr(f"array_min(transform({each}, r -> {distance(own, 'r')}))") if found else F.lit(0.0))
     far = (F.col("word_chars") >= LEAST_CHARS) & (F.col("char_distance") > CHAR_DISTANCE) | (F.col("n_words") >= LEAST_COUNTED) & (F.col("word_distance") > WORD_DISTANCE)
     return shares.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~far).alias("kept"), "char_distance", "word_distance")

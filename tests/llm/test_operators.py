@@ -283,3 +283,12 @@ def test_long_texts_of_numerals_have_no_language(docs):
     model = langid.train(docs, F.lit(True), P.path("byte_bpe_multi_50k.tiktoken"))
     assert langid.Scorer(model)(["½ ² ① " * 100, "½ ² ① " * 100 + "a"])[0] is None
     assert langid.Scorer(model)(["½ ² ① " * 100 + "a"])[0] is not None
+
+
+def test_quality_rules_judge_by_every_language(spark):
+    """The last of 71 languages, in other characters, has a reference as the others have."""
+    plain = [(100 * k + i, " ".join(f"wa{chr(97 + i)}b{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60)), f"l{k:02}") for k in range(70) for i in range(2)]
+    other = (9999, " ".join("日本" + chr(0x4E00 + j) for j in range(100)), "zz")
+    rows = spark.createDataFrame([*plain, other], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in quality_rules.judge(rows).collect()}
+    assert got[9999]["kept"] and got[9999]["char_distance"] == 0 and all(r["kept"] for r in got.values())
