@@ -8,19 +8,24 @@ bytes together encode to just the two).  A state holds the boundaries from which
 some token can still reach past the current byte, each with the last token before
 it.  Tokens that the encodings up to all these boundaries share are emitted.  The
 lookahead is bounded by the longest token, and a run of any length takes linear
-time and constant memory.
+time and constant memory.  Many short pieces go through the transducer side by side,
+a byte of each at a time; moves that are known are looked up for all of them at once.
 
 Decoding: ids become bytes by table; an incremental UTF-8 state machine gives out
 text as soon as a code point is complete.
+
+A null text counts as empty and has no ids; repeated and tied rows get equal results,
+as rows are independent of each other; an empty table gives an empty result.  Columns
+other than id and text are not read, so their names don't matter.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +40,8 @@ _IDS = 1 << 24
 LOOK = 512
 #: Bytes of text that are looked up together.
 GROUP = 1 << 20
+#: Longer pieces go through the transducer alone.
+SHORT = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,8 +49,47 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Moves:
+    """(state, byte) to state, by open addressing, so that many are looked up at once."""
+
+    def __init__(self, bits: int = 12):
+        self.bits, self.count = bits, 0
+        self.keys, self.to = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int64)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The next states; -1: not known."""
+        out, rest, at, last = np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys)), self._place(keys), len(self.keys) - 1
+        while len(rest):
+            held = self.keys[at]
+            same = held == keys[rest]
+            out[rest[same]] = self.to[at[same]]
+            further = ~same & (held >= 0)
+            rest, at = rest[further], (at[further] + 1) & last
+        return out
+
+    def add(self, keys: np.ndarray, to: np.ndarray) -> None:
+        """keys: distinct, and none of them known."""
+        if 2 * (self.count + len(keys)) > len(self.keys):
+            old = self.keys >= 0
+            keys, to = np.concatenate([self.keys[old], keys]), np.concatenate([self.to[old], to])
+            self.__init__(max(12, (4 * len(keys)).bit_length()))
+        at, last = self._place(keys), len(self.keys) - 1
+        self.count += len(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            # Of those that want one place the first has it.
+            free = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[free]], self.to[at[free]] = keys[free], to[free]
+            rest = np.ones(len(keys), dtype=bool)
+            rest[free] = False
+            keys, to, at = keys[rest], to[rest], (at[rest] + 1) & last
+
+
 class Transducer:
-    """Encodes one piece (one match of the splitting pattern) at a time."""
+    """Encodes pieces (matches of the splitting pattern)."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -53,6 +99,8 @@ class Transducer:
         self.token: list[bytes | int | None] = [None]
         self.inner, self.depth = [True], [0]
         self.width = {v: len(k) for k, v in ranks.items()}
+        self.widths = np.zeros(max(ranks.values(), default=0) + 1, dtype=np.int64)
+        self.widths[list(self.width)] = list(self.width.values())
         for t in ranks:
             node = 0
             for k, byte in enumerate(t):
@@ -72,6 +120,7 @@ class Transducer:
         self.ids = {(0,): 0}
         self.states: list[tuple[int, ...]] = [(0,)]
         self.moves: dict[int, int] = {}
+        self.many = Moves()
         #: The last token of the encoding of what has been read.
         self.tails = [-1]
 
@@ -167,6 +216,60 @@ class Transducer:
             return [self.ranks[piece]]
         return [i for some in self.stream((piece[k : k + LOOK] for k in range(0, len(piece), LOOK))) for i in some]
 
+    def encode_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and how many each has."""
+        whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), dtype=np.int64, count=len(pieces))
+        size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        count = (whole >= 0).astype(np.int64)
+        alone = {i: self.encode(pieces[i]) for i in np.flatnonzero((whole < 0) & (size > SHORT)).tolist()}
+        for i, ids in alone.items():
+            count[i] = len(ids)
+        rest = np.flatnonzero((whole < 0) & (size > 0) & (size <= SHORT))
+        rest = rest[np.argsort(-size[rest], kind="stable")]
+        found = self._side_by_side([pieces[i] for i in rest.tolist()], size[rest])
+        for step, (some, _) in enumerate(found):
+            count[rest[some]] = step + 1
+        end = np.cumsum(count)
+        out = np.zeros(int(end[-1]) if len(end) else 0, dtype="<u4")
+        out[end[whole >= 0] - 1] = whole[whole >= 0]
+        for step, (some, ids) in enumerate(found):
+            out[end[rest[some]] - 1 - step] = ids
+        for i, ids in alone.items():
+            out[end[i] - len(ids) : end[i]] = ids
+        return out, count
+
+    def _side_by_side(self, pieces: list[bytes], size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For the last token of each, the one before it and so on: which pieces have one, and its id.
+
+        The pieces come by falling length."""
+        if not pieces:
+            return []
+        if len(self.states) > STATES:
+            self._reset()
+        width = int(size[0])
+        text = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), dtype=np.uint8).reshape(len(pieces), width).T.astype(np.int64)
+        state, ends, tails = np.zeros(len(pieces), dtype=np.int64), np.zeros((width, len(pieces)), dtype=np.int64), np.array(self.tails)
+        still = np.searchsorted(-size, -np.arange(width), side="left")
+        for j, n in enumerate(still.tolist()):
+            key = state[:n] << 8 | text[j, :n]
+            to = self.many.find(key)
+            unknown = np.flatnonzero(to < 0)
+            if len(unknown):
+                keys, back = np.unique(key[unknown], return_inverse=True)
+                made = np.array([self.moves[k] if k in self.moves else self._move(k >> 8, k & 255) for k in keys.tolist()])
+                self.many.add(keys, made)
+                to[unknown] = made[back]
+                tails = np.concatenate([tails, self.tails[len(tails) :]]).astype(np.int64)
+            state[:n] = to
+            ends[j, :n] = tails[to]
+        out, at, left = [], np.arange(len(pieces)), size.copy()
+        while len(at):
+            ids = ends[left - 1, at]
+            out.append((at, ids))
+            left = left - self.widths[ids]
+            at, left = at[left > 0], left[left > 0]
+        return out
+
     def stream(self, blocks: Iterable[bytes]) -> Iterator[list[int]]:
         """Ids of one piece that comes in blocks: what no later byte can change is given out after each."""
         if len(self.states) > STATES:
@@ -334,30 +437,30 @@ def coder(path: str, pattern: str) -> tuple[ChunkCoder, Decoder]:
         machine, split = Transducer(ranks), regex.compile(pattern)
 
         def encode(chunks: list[str]) -> list[bytes]:
-            return [array("I", [i for piece in split.findall(c) for i in machine.encode(piece.encode())]).tobytes() for c in chunks]
+            cuts = [split.findall(c) for c in chunks]
+            ids, count = machine.encode_all([p.encode() for cut in cuts for p in cut])
+            ends = np.concatenate(([0], 4 * np.cumsum(count)))[np.cumsum([0, *map(len, cuts)])].tolist()
+            raw = ids.tobytes()
+            return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
         _CODERS[path, pattern] = ChunkCoder(encode), Decoder(ranks)
     return _CODERS[path, pattern]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids binary little-endian uint32, decoded binary) of every whole text.
-
-    A null text counts as empty; an empty text has no ids; rows are independent of each other."""
+    """(id, n_tokens, ids binary little-endian uint32, decoded string) of every whole text."""
 
     def run(batches):
-        import numpy as np
-
         code, decoder = coder(path, pattern)
         for batch in batches:
             for part in parts(batch, 1):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids = code(texts)
-                decoded = [decoder.to_bytes(np.frombuffer(x, dtype="<u4").tolist()) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=[id_col, "n_tokens", "ids", "decoded"])
+                decoded = ["".join(decoder.stream(np.frombuffer(x, dtype="<u4").tolist())) for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens bigint, ids binary, decoded binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens bigint, ids binary, decoded string")
 
 
 def parts(batch: pa.RecordBatch, column: int, limit: int = GROUP) -> Iterator[pa.RecordBatch]:
@@ -376,5 +479,5 @@ def parts(batch: pa.RecordBatch, column: int, limit: int = GROUP) -> Iterator[pa
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """encode(), with digests of ids and decoded bytes in place of the bytes themselves."""
+    """encode(), with digests of the ids, and of the decoded text's bytes, in place of these themselves."""
     return encode(docs, path, pattern, id_col, text_col).select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
