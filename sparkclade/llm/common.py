@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +14,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+#: What has been written to the shared folder, and broadcast, and not been released.
+_HELD: list = []
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in local tests, a temporary folder is set."""
+    Only where driver and executors are one process, and the session names none, as in
+    tests, a temporary folder is set; on a cluster the setting is needed."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="sparkclade-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -28,9 +37,47 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, its lineage cut, read by column."""
     path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    _HELD.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent(spark: SparkSession, value):
+    """value, broadcast; what is sent must have a size that doesn't grow with the data."""
+    _HELD.append(spark.sparkContext.broadcast(value))
+    return _HELD[-1]
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Tables written, and broadcasts sent, within the block are deleted at its end: results must have been stored by then."""
+    before = len(_HELD)
+    try:
+        yield
+    finally:
+        made, _HELD[before:] = _HELD[before:], []
+        for x in made:
+            if isinstance(x, str):
+                remove(spark, x)
+            else:
+                x.destroy()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many marks as it needs to differ from df's columns and from those before it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,4 +113,4 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct()) if state[0] else spark.createDataFrame([], "node bigint, root bigint")
 
 
-__all__ = ["BROADCAST_ROWS", "components", "scratch", "small", "table", "written"]
+__all__ = ["BROADCAST_ROWS", "components", "fresh", "released", "remove", "scratch", "sent", "small", "table", "written"]

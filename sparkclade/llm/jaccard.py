@@ -18,7 +18,9 @@ share a shingle among the first n - ceil(t n) + 1 of each, their prefixes.
 
 A set is named by its smallest id.  Empty texts have no set and link with nothing; a
 row with a null id links with nothing and has no component; rows that share an id
-count as one document; an empty table gives an empty result.
+count as one document; an empty table gives an empty result.  Ties of frequency and of
+centrality are broken by hashes, and change no link; columns other than id and text are
+not read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkclade.llm.bpe import parts
-from sparkclade.llm.common import components, small, written
+from sparkclade.llm.common import components, sent, small, written
 from sparkclade.llm.shingles import SEGMENT, mix, shingle_sets
 
 #: Similarity threshold as a fraction of integers.
@@ -64,21 +66,20 @@ def histogram(shingles: np.ndarray) -> bytes:
     return np.minimum(np.bincount(places, minlength=1 << bits), 0xFF).astype(np.uint8).tobytes()
 
 
-def possible(n: int, m: int, x: bytes, y: bytes) -> bool:
-    """Whether sets of n and m shingles with histograms x and y can be similar enough."""
-    if WHOLE * min(n, m) < SHARE * max(n, m):
-        return False
-    p, q = (np.frombuffer(v, dtype=np.uint8) for v in (x, y))
-    # A full counter says nothing.
-    if (p == 0xFF).any() or (q == 0xFF).any():
-        return True
-    p, q = p.astype(np.int64), q.astype(np.int64)
-    while len(p) > len(q):
-        p = p.reshape(-1, 2).sum(axis=1)
-    while len(q) > len(p):
-        q = q.reshape(-1, 2).sum(axis=1)
-    most = int(np.minimum(p, q).sum())
-    return WHOLE * most >= SHARE * (n + m - most)
+def possible(n: np.ndarray, m: np.ndarray, x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Which pairs of sets of n and m shingles, with histograms x and y, can be similar enough."""
+    fits = WHOLE * np.minimum(n, m) >= SHARE * np.maximum(n, m)
+    widths = np.array([(len(p), len(q)) for p, q in zip(x, y, strict=True)], dtype=np.int64).reshape(-1, 2)
+    for a, b in np.unique(widths[fits], axis=0).tolist():
+        rows = np.flatnonzero(fits & (widths == (a, b)).all(axis=1))
+        p, q = (np.frombuffer(b"".join([v[i] for i in rows.tolist()]), dtype=np.uint8).reshape(len(rows), -1) for v in (x, y))
+        # A full counter says nothing.
+        full = (p == 0xFF).any(axis=1) | (q == 0xFF).any(axis=1)
+        least = min(a, b)
+        p, q = (v.reshape(len(rows), least, -1).sum(axis=2, dtype=np.int64) for v in (p, q))
+        most = np.minimum(p, q).sum(axis=1)
+        fits[rows] = full | (WHOLE * most >= SHARE * (n[rows] + m[rows] - most))
+    return fits
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -122,9 +123,8 @@ def _sketch(scanned: DataFrame) -> tuple[np.ndarray, float]:
 
     salted = scanned.where("cell_row is not null").select("cell_row", "counts").withColumn("salt", F.expr("cast(pmod(xxhash64(counts), 32) as int)"))
     schema = "cell_row int, counts binary"
-    rows = salted.groupBy("cell_row", "salt").applyInPandas(lambda pdf: add(pdf), schema).groupBy("cell_row").applyInPandas(add, schema).collect()
     out = np.zeros(((1 << SKETCH_BITS) // SKETCH_ROW, SKETCH_ROW), dtype=np.uint32)
-    for r in rows:
+    for r in salted.groupBy("cell_row", "salt").applyInPandas(lambda pdf: add(pdf), schema).groupBy("cell_row").applyInPandas(add, schema).collect():
         out[r["cell_row"]] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint32)
     return ranks(out.ravel())
 
@@ -134,9 +134,24 @@ def ranks(counts: np.ndarray) -> tuple[np.ndarray, float]:
 
     The median is what a cell of rare shingles holds; what is above it is measured in
     units of its noise, so that the order stays useful when all cells are well filled."""
-    usual = float(np.median(counts))
-    above = np.maximum(counts.astype(np.float64) - usual, 0)
-    return np.minimum(63, np.floor(2 * np.log2(above / _noise(usual) + 1))).astype(np.uint8), _noise(usual)
+    usual = _median(counts)
+    out = np.empty(len(counts), dtype=np.uint8)
+    for at in range(0, len(counts), SKETCH_ROW):
+        above = np.maximum(counts[at : at + SKETCH_ROW].astype(np.float64) - usual, 0)
+        out[at : at + SKETCH_ROW] = np.minimum(63, np.floor(2 * np.log2(above / _noise(usual) + 1)))
+    return out, _noise(usual)
+
+
+def _median(counts: np.ndarray) -> float:
+    """The lower median, found by halving the range, as a copy of all counts would fill the driver."""
+    low, high = 0, int(counts.max(initial=0))
+    while low < high:
+        middle = (low + high) // 2
+        if 2 * int(np.count_nonzero(counts <= middle)) >= len(counts):
+            high = middle
+        else:
+            low = middle + 1
+    return float(low)
 
 
 def _noise(usual: float) -> float:
@@ -276,7 +291,8 @@ def _possible(edges: DataFrame, rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            fits = pa.array([possible(*row) for row in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5, 6)), strict=True)], pa.bool_())
+            n, m = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 4))
+            fits = pa.array(possible(n, m, batch.column(5).to_pylist(), batch.column(6).to_pylist()))
             marked = pa.RecordBatch.from_arrays([*batch.columns[:3], fits], names=["a", "b", "tie", "open"])
             yield marked.filter(pc.or_(fits, batch.column(2)))
 
@@ -310,7 +326,6 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
     from sparkclade.llm.embeddings import forest
 
     left, right = (pdf[pdf["side"] == s].drop_duplicates("id") for s in (0, 1))
-    out: list[tuple[int, int]] = []
     if len(left) and len(right):
         sets = [np.frombuffer(v, dtype=np.uint64) for v in right["shingles"]]
         sizes = np.array([len(s) for s in sets])
@@ -329,8 +344,9 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
             a += [i] * len(linked)
             b += (linked + len(left)).tolist()
         ids = np.concatenate([left["id"].to_numpy(), right["id"].to_numpy()])
-        out = [(int(ids[i]), int(ids[j])) for i, j in forest(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), len(ids)) if ids[i] != ids[j]]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        x, y = forest(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), len(ids))
+        return pd.DataFrame({"a": ids[x], "b": ids[y]})
+    return pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -350,7 +366,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(id, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
     scanned = written(_scan(docs, id_col, text_col))
-    sketch = spark.sparkContext.broadcast(_sketch(scanned))
+    sketch = sent(spark, _sketch(scanned))
     rows = scanned.where("cell_row is null").select("id", "n", "print1", "print2", "counts")
     # Each distinct set by its smallest id.
     named = rows.where("n > 0 and id is not null").groupBy("n", "print1", "print2").agg(F.min("id").alias("rep"))

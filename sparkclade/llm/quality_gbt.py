@@ -5,8 +5,9 @@ statistics of a bounded sample of labelled rows, and flattened into arrays that
 traversed for all rows of a batch at once.
 
 A null text counts as empty and gets a score like any other; repeated rows get equal
-scores; of several labels for one id the lowest counts, null labels do not.  With no
-label to learn from, every score is the prior 0.5.
+scores, and so do tied ones; of several labels for one id the lowest counts, null labels do
+not.  With no label to learn from, every score is the prior 0.5; an empty table gives an empty
+result.  Columns may have any names but those that are added.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkclade.llm.bpe import parts
+from sparkclade.llm.common import sent
 from sparkclade.llm.shingles import _SPACE, mix, word_hashes
 
 #: Labelled rows that training takes at most, in expectation.
@@ -135,9 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     """Trees from a sample of the labelled rows for which `learn` holds: `limit` ids in expectation.
 
     Which ids are drawn depends on their hash only."""
-    known = labels.where(learn & F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("quality").alias("_label"))
+    known = labels.where(learn & F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("label"))
     rate = min(1.0, limit / max(known.count(), 1))
-    drawn = known.where(F.pmod(F.xxhash64(id_col, F.lit(29)), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    drawn = known.where(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 30)) < int(rate * (1 << 30)))
 
     def run(batches):
         for batch in batches:
@@ -147,8 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), stats], names=["label", "stats"])
 
     # The sample bounds the broadcast; an id that repeats in the documents is learnt from once.
-    rows = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col).groupBy(id_col, "_label").agg(F.min(text_col).alias("_text"))
-    found = rows.select("_label", "_text").mapInArrow(run, "label int, stats array<float>").toPandas()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(drawn), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    found = rows.select("label", "text").mapInArrow(run, "label int, stats array<float>").toPandas()
     model = Trees()
     if len(found) and found["label"].nunique() > 1:
         x = np.array(found["stats"].tolist(), dtype=np.float64)
@@ -161,8 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
 
 def predict(docs: DataFrame, trees: Trees, columns: list[str], text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """The columns of docs with score and predicted; only the text is looked at, once."""
-    model = docs.sparkSession.sparkContext.broadcast(trees)
-    given = docs.select(*(c for c in columns if c != text_col), text_col)
+    model = sent(docs.sparkSession, trees)
+    given = docs.select(*(F.col(f"`{c}`") for c in columns if c != text_col), F.col(f"`{text_col}`"))
     kept = len(given.columns) - (text_col not in columns)
 
     def run(batches):

@@ -105,15 +105,3 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
         else:
             out.append(empty)
     return out
-
-
-def chunks(texts: list[bytes], limit: int = SEGMENT):
-    """Ranges of texts with about `limit` bytes together, one text at least."""
-    a, n = 0, 0
-    for i, t in enumerate(texts):
-        if n and n + len(t) > limit:
-            yield a, i
-            a, n = i, 0
-        n += len(t) + 1
-    if a < len(texts):
-        yield a, len(texts)
