@@ -9,8 +9,9 @@ text is dropped if even the closest reference is too far by Jensen-Shannon dista
 a histogram only counts where the text is long enough for it.
 
 A null text counts as empty, has no words and fails the base rules; a null language
-makes no reference; repeated rows are judged alike, and take part in references each.
-With no reference the base rules decide.
+makes no reference; repeated (tied) rows are judged alike, and take part in references each.
+With no reference the base rules decide; an empty table gives an empty result.  Columns other
+than id, text and language are not read.
 """
 
 from __future__ import annotations
@@ -61,7 +62,11 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows = rows.withColumn("keys", F.expr(f"if(size(array_distinct(windows)) = size(windows), cast(array() as array<bigint>), {keys})"))
     same = "shiftright(k, bits) <=> shiftright(get(keys, {0}), bits)"
     found = f"filter(keys, (k, i) -> ({same.format('i - 1')}) or ({same.format('i + 1')}))"
-    rows = rows.withColumn("places", F.expr(f"sort_array(transform({found}, k -> k & (shiftleft(1L, bits) - 1)))"))
+    rows = rows.withColumn("maybe", F.expr(f"transform({found}, k -> cast(k & (shiftleft(1L, bits) - 1) as int))"))
+    # Keys of long texts hold few bits of the hash, so what they bring together is compared by all of it.
+    rows = rows.withColumn("alike", F.expr("array_sort(transform(maybe, p -> struct(windows[p] as h, p as p)))"))
+    again = "(x.h <=> get(alike, i - 1).h) or (x.h <=> get(alike, i + 1).h)"
+    rows = rows.withColumn("places", F.expr(f"sort_array(transform(filter(alike, (x, i) -> {again}), x -> cast(x.p as bigint)))"))
     # A repeated window's words, without those that the next repeated window also has.
     repeated = "if(size(places) = 0, 0L, aggregate(zip_with(slice(places, 2, size(places) - 1), slice(places, 1, size(places) - 1), (x, y) -> least(3L, x - y)), 3L, (s, d) -> s + d))"
     rows = rows.withColumn("lines", F.expr("split(t, '\\n')")).withColumn("others", F.size("lines") - F.size(F.array_distinct("lines")))
