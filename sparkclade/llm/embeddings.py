@@ -13,6 +13,7 @@ Vectors that are equal are collapsed before anything is compared.  Vectors that
 null or zero, or hold null or non-finite components, and vectors with a null label
 or null id, link with nothing; an empty table gives an empty result.  A row's id is
 taken as its identity: rows that share one count as one vector, the smallest of them.
+Ties don't matter, as every pair that meets is compared; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ COSINE = 0.93
 TABLES = 10
 #: Buckets that a vector is put in for each table: the closest, and next-closest axes.
 PROBES = 3
-#: Vectors in a block; two blocks are compared at a time.
-BLOCK = 256
+#: Vectors in a block; two blocks are compared at a time, so a bucket's vector is sent once
+#: for each BLOCK vectors of the bucket.
+BLOCK = 2048
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -80,26 +82,26 @@ def unit(flat: np.ndarray, width: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def find(parent: list[int], i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs (a, b) of numbers below n."""
-    parent, kept = list(range(n)), []
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = find(parent, i), find(parent, j)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            kept.append((i, j))
-    return kept
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what the pairs (a, b) of numbers below n join, one for each number but the smallest of its component."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    joined = np.flatnonzero(root != np.arange(n))
+    return joined, root[joined]
 
 
 #: Rows of the small groups that are compared at once, and most rows of such a group.
 AT_ONCE, FEW = 50_000, 16
+#: Rows of a block that are compared with another block at once.
+ROWS = 512
 
 
 def _near(x: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -118,13 +120,16 @@ def _near(x: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray,
             found_b.append(b[near])
     for g in np.flatnonzero((left > 0) & (~within | (size > FEW))).tolist():
         s, n, k = int(start[g]), int(size[g]), int(left[g])
-        if within[g]:
-            a, b = np.nonzero(np.triu(x[s : s + n] @ x[s : s + n].T >= cosine, 1))
-        else:
-            a, b = np.nonzero(x[s : s + k] @ x[s + k : s + n].T >= cosine)
-            b = b + k
-        found_a.append(a + s)
-        found_b.append(b + s)
+        # Some rows at a time, as all products of two blocks are many.
+        for at in range(0, k, ROWS):
+            to = min(at + ROWS, k)
+            after = at if within[g] else k
+            a, b = np.nonzero(x[s + at : s + to] @ x[s + after : s + n].T >= cosine)
+            a, b = a + at, b + after
+            if within[g]:
+                a, b = a[a < b], b[a < b]
+            found_a.append(a + s)
+            found_b.append(b + s)
     none = [np.zeros(0, dtype=np.int64)]
     return np.concatenate(found_a + none), np.concatenate(found_b + none)
 
@@ -165,9 +170,8 @@ def compare(rows: pa.RecordBatch, cosine: float) -> pa.RecordBatch | None:
         return None
     links = np.bincount(a, weights=weight[b], minlength=len(ids)) + np.bincount(b, weights=weight[a], minlength=len(ids))
     touched = np.flatnonzero(links)
-    pairs = np.array(forest(a, b, len(ids)), dtype=np.int64)
-    none = np.zeros(len(pairs), dtype=np.int64)
-    out = (np.append(ids[touched], ids[pairs[:, 0]]), np.append(ids[touched], ids[pairs[:, 1]]), np.append(links[touched].astype(np.int64), none))
+    x, y = forest(a, b, len(ids))
+    out = (np.append(ids[touched], ids[x]), np.append(ids[touched], ids[y]), np.append(links[touched].astype(np.int64), np.zeros(len(x), dtype=np.int64)))
     return pa.RecordBatch.from_arrays([pa.array(v) for v in out], names=["a", "b", "links"])
 
 
