@@ -8,7 +8,8 @@ one is not.  A known title before a licence's first words, and the advice on how
 apply a licence after its end, may be there or not.
 
 A null or empty text matches nothing; repeated rows are matched each; a licence
-table with repeated digests gives the smallest name.
+table with repeated (tied) digests gives the smallest name; an empty table gives an
+empty result; columns other than id and text are not read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ window has room and all are in use, the fullest is emitted.  What is open when a
 partition ends is written out with the closed windows, and the leftovers of many
 partitions are merged in a second, much smaller round, again best-fit.
 
-A null text is an empty one (a single closing id); repeated rows are packed each.
+A null text is an empty one (a single closing id); repeated rows are packed each; of
+windows with equal room the one opened first is taken; an empty table gives an empty
+result; columns other than id and text are not read.
 Partition numbers make sequence ids unique; a lost task gives the same rows again,
 as it reads the same rows in the same order, and the second round reads a table.
 """

@@ -281,8 +281,7 @@ def test_language_sample_keeps_every_language(spark):
 
 def test_long_texts_of_numerals_have_no_language(docs):
     model = langid.train(docs, F.lit(True), P.path("byte_bpe_multi_50k.tiktoken"))
-    assert langid.Scorer(model)(["½ ² ① " * 100, "½ ² ① " * 100 + "a"])[0] is None
-    assert langid.Scorer(model)(["½ ² ① " * 100 + "a"])[0] is not None
+    assert [x is None for x in langid.Scorer(model)(["½ ² ① " * n + end for n in (21, 22, 100) for end in ("", "a")])] == [True, False] * 3
 
 
 def test_quality_rules_judge_by_every_language(spark):
@@ -292,3 +291,304 @@ def test_quality_rules_judge_by_every_language(spark):
     rows = spark.createDataFrame([*plain, other], "doc_id bigint, text string, lang string")
     got = {r["doc_id"]: r for r in quality_rules.judge(rows).collect()}
     assert got[9999]["kept"] and got[9999]["char_distance"] == 0 and all(r["kept"] for r in got.values())
+
+
+# Edge cases: clashing columns, long texts, ties, repeated rows, brute force ----------------------
+
+CLASH = ["_t", "t", "spans", "_spans", "_hit", "hit", "in0", "in1", "of_hex", "score", "predicted", "_predicted", "lang_pred", "_lang", "margin", "row", "n", "id", "label", "bucket", "place", "row_no", "copy"]
+
+
+def test_pipeline_stages_with_clashing_columns_and_repeated_ids(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    texts = [(1, EN * 8), (1, DE * 8), (1, EN * 8), (None, EN * 8), (None, f"{LONG} other"), (2, None), (3, "password='Zk39dkLw02kDkf93kd' " + " ".join(f"the q{k}" for k in range(60)))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = docs.select("*", *(F.lit("x").alias(c) for c in CLASH))
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert all(r[c] == "x" for r in rows for c in CLASH), name
+        if name == "n-gram Jaccard join":
+            assert sorted(r["text"] or "" for r in rows) == sorted({t or "" for _, t in texts})
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+    assert {r["doc_id"] for r in pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == {None, 1, 2, 3}
+
+
+def test_pipeline_of_no_documents_and_what_it_leaves(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from sparkclade.llm import common
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    before = len(common._HELD)
+    assert pipeline.run(spark, str(tmp_path)).count() == 0 and len(common._HELD) == before
+
+
+def test_pipeline_rejects_gibberish_and_keeps_languages(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(8)
+    noise = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(60))
+    rows = [(i, f"{EN if i % 2 else DE}{i} " * 5, "en" if i % 2 else "de") for i in range(40)] + [(100, noise, "en"), (101, noise + "x", "de")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learn = docs.where("doc_id < 100")
+    model = langid.train(learn, F.lit(True), P.path("byte_bpe_multi_50k.tiktoken"))
+    margins = {r["doc_id"]: r["margin"] for r in langid.predict(docs, model, ["doc_id"]).collect()}
+    assert all((margins[i] >= pipeline.MARGIN) == (i < 100) for i in margins)
+
+
+@pytest.mark.parametrize("size", [10_000, 3_000_000])
+def test_secrets_in_very_long_texts(spark, size):
+    """One token as long as the text: the time grows with the length, not with its square."""
+    rng = np.random.default_rng(1)
+    token = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), size)) + "9"
+    docs = spark.createDataFrame([(1, f"é {token} end")], "doc_id bigint, text string")
+    got = secrets.scan(docs).collect()[0]
+    assert got["spans"].split(",")[-1] == f"markov:2:{size + 3}"
+    assert secrets.redact(docs).collect()[0]["text"] == "é [SECRET] end"
+
+
+def test_markov_spans_against_plain_python(spark):
+    table = secrets.ratios(*secrets.samples())
+    rng = np.random.default_rng(5)
+    words = ["get_user_name_2041", "f47ac10b-58cc-4372-a567-0e02b2c3d479", "Zk39dkLw02kDkf93kdQ1", "some/path/to/file_number_12", "AAAAAAAAAAAAAAAAAAAAAAAAAAAAA1", "plain words", "x=1", "aGVsbG8gd29ybGQ5MzQ4NzIz+/=="]
+    texts = [" ".join(rng.choice(words, 12)) for _ in range(40)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, t in enumerate(texts):
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
+            total = sum(table[128 * ord(a) + ord(b)] for a, b in zip(m[0], m[0][1:]))
+            if re.search("[0-9]", m[0]) and total >= max(secrets.RATIO_TOTAL, secrets.RATIO * len(m[0])):
+                want.append(f"markov:{m.start()}:{m.end()}")
+        assert [s for s in got[i].split(",") if s.startswith("markov")] == want
+
+
+def test_long_texts_pass_through_every_operator(spark):
+    """Texts of 5 MB: one word, one line, one repeated word, and ordinary prose."""
+    texts = ["x" * 5_000_000, EN * 66_000, "a " * 2_500_000, " ".join(f"{k:x}" for k in range(800_000))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string").repartition(4).cache()
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    got = {r["doc_id"]: r for r in bpe.digests(docs, path, P.PATTERN).collect()}
+    assert all(got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts))
+    packed = packing.pack(docs, P.path("byte_bpe_50k.json")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert len(packed) == 4 and all(r["n"] == r["m"] for r in packed)
+    joined = {r["doc_id"]: r for r in jaccard.join(docs).collect()}
+    assert [joined[i]["n_shingles"] for i in (0, 2, 3)] == [1, 1, 799_996] and all(joined[i]["component_id"] == i for i in range(4))
+    assert all(r["n_words"] == len(texts[r["doc_id"]].split()) for r in quality_rules.judge(docs).collect())
+    assert licenses.scan(docs).where("license_id is null").count() == 4
+    assert {r["lang_pred"] for r in langid.predict(docs, langid.train(docs, F.lit(True), path), ["doc_id"]).collect()} == {"en"}
+    assert secrets.scan(docs).where("n_assign = 0 and n_access = 0").count() == 4
+    assert sorted(r["slot"] for r in sharding.shard(docs.select("doc_id"), ["doc_id"], 1).collect()) == [0, 1, 2, 3]
+
+
+def test_repeat_words_are_compared_by_the_whole_hash(spark):
+    """A text of a million words of which three windows repeat."""
+    words = [f"w{k}" for k in range(1_000_000)] + ["w5", "w6", "w7", "w8", "w9"]
+    row = quality_rules.judge(spark.createDataFrame([(1, " ".join(words), "en")], "doc_id bigint, text string, lang string")).collect()[0]
+    assert row["n_repeat_words"] == 10
+
+
+def test_grid_of_the_permutation_is_tight():
+    rng = np.random.default_rng(3)
+    for n in [1, 2, 3, 256_410, 10**9 + 7, 19_999_999_967, *rng.integers(1, 10**13, 40).tolist()]:
+        a, b = sharding.domain(n)
+        assert 0 <= a * b - n <= max(4, n // 1000 if n < 10_000 else 64)
+
+
+def test_a_row_that_fills_a_third_of_the_table_is_dealt_out(spark):
+    rows = spark.range(200_000).select(F.lit(None).cast("int").alias("n")).union(spark.range(1000).select((F.col("id") % 7).cast("int")))
+    got = sharding.shard(rows, ["n"], 3).groupBy("shard").agg(F.count("*").alias("c"), F.count_distinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert len(got) == 3 and all(r["c"] == r["d"] == r["m"] + 1 for r in got) and sum(r["c"] for r in got) == 201_000
+
+
+def brute_links(texts):
+    """(set sizes, components) by comparing all pairs."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i, t in texts:
+        w = WORD.findall((t or "").translate(low))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            inter = len(sets[i] & sets[j])
+            if i < j and inter and 100 * inter >= 75 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: len(s) for i, s in sets.items()}, {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("case", ["copies", "boilerplate", "hot"])
+def test_links_against_all_pairs(spark, monkeypatch, case):
+    """Chains of near copies, sets that share most shingles without being similar, and a salted shingle."""
+    rng = np.random.default_rng(len(case))
+    vocabulary = [f"v{k}" for k in range(400)]
+    texts, common = [], " ".join(rng.choice(vocabulary, 40))
+    for i in range(260):
+        own = rng.choice(vocabulary, int(rng.integers(6, 60))).tolist()
+        if case == "copies" and i % 3:
+            own = texts[int(rng.integers(len(texts)))][1].split()
+            for _ in range(int(rng.integers(0, 4))):
+                own[int(rng.integers(len(own)))] = str(rng.choice(vocabulary))
+        if case != "copies" and i % 2:
+            own = common.split() + own[: int(rng.integers(0, 40))]
+        texts.append((i, " ".join(own)))
+    if case == "hot":
+        monkeypatch.setattr(jaccard, "SALTED", 2)
+        monkeypatch.setattr(jaccard, "PAIRED", 3)
+        monkeypatch.setattr(jaccard, "BLOCK", 8)
+    sizes, components = brute_links(texts)
+    got = {r["doc_id"]: r for r in jaccard.join(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(5)).collect()}
+    assert {i: r["n_shingles"] for i, r in got.items()} == sizes and {i: r["component_id"] for i, r in got.items()} == components
+
+
+def test_histograms_never_exclude_a_link():
+    rng = np.random.default_rng(6)
+    x = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (1, 4, 9, 100, 1000, 5000)]
+    y = [np.unique(np.concatenate([s[: max(1, int(0.8 * len(s)))], rng.integers(0, 2**64, len(s) // 12, dtype=np.uint64)])) for s in x]
+    n, m = (np.array([len(s) for s in v]) for v in (x, y))
+    linked = np.array([jaccard.WHOLE * len(np.intersect1d(p, q)) >= jaccard.SHARE * len(np.union1d(p, q)) for p, q in zip(x, y, strict=True)])
+    fits = jaccard.possible(n, m, [jaccard.histogram(s) for s in x], [jaccard.histogram(s) for s in y])
+    assert linked.any() and (fits | ~linked).all()
+    assert not jaccard.possible(np.array([1000]), np.array([1000]), [jaccard.histogram(x[4])], [jaccard.histogram(np.unique(rng.integers(0, 2**64, 1000, dtype=np.uint64)))])[0]
+
+
+def test_median_without_a_copy():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 1000):
+        counts = rng.integers(0, 50, n).astype(np.uint32)
+        assert jaccard._median(counts) == np.sort(counts)[(n - 1) // 2]
+
+
+def test_flattened_trees_against_a_plain_walk(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 6)).round(1)
+    y = ((x[:, 0] * x[:, 1] > 0) ^ (rng.random(500) < 0.1)).astype(float)
+    trees = quality_gbt.Trees(depth=3, rounds=12).fit(x, y)
+    want = []
+    for row in x:
+        margin = trees.base
+        for t in range(len(trees.feature)):
+            k = 0
+            while k < trees.feature.shape[1]:
+                k = 2 * k + 1 if not row[trees.feature[t, k]] > trees.above[t, k] else 2 * k + 2
+            margin += trees.value[t, k]
+        want.append(1 / (1 + np.exp(-margin)))
+    assert np.allclose(trees.score(x), want) and ((trees.score(x) > 0.5) == (y > 0.5)).mean() > 0.8
+    labels = spark.createDataFrame([(1, 1), (1, 0), (1, None), (2, 1), (None, 1)], "doc_id bigint, quality int")
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "c")], "doc_id bigint, text string")
+    model = quality_gbt.train(docs, labels, F.lit(True))
+    assert [r["score"] for r in quality_gbt.predict(docs, model, ["doc_id"]).collect()][1] == [r["score"] for r in quality_gbt.predict(docs, model, ["doc_id"]).collect()][2]
+
+
+def test_language_held_out_on_the_documents(spark):
+    """The shipped settings, on the rows that nothing is learnt from."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs, ~langid.held_out(), P.path("byte_bpe_multi_50k.tiktoken"))
+    rows = langid.predict(docs, model, docs.columns).where(langid.held_out() & F.col("lang").isNotNull() & (F.col("lang_pred") != "und")).collect()
+    assert len(rows) > 100 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
+
+
+def test_lattice_against_all_segmentations():
+    rng = np.random.default_rng(2)
+    pieces = sorted({bytes(rng.choice(list(b"abc"), int(n)).tolist()) for n in rng.integers(1, 6, 40)} | {b"a", b"b", b"c"})
+    model = langid.Model(pieces, ["x", "y"])
+    model.probability = rng.random((len(pieces), 2))
+    words = [bytes(rng.choice(list(b"abc"), int(n)).tolist()) for n in rng.integers(1, 9, 30)]
+
+    def total(word, lang):
+        return 1.0 if not word else sum(model.probability[i, lang] * total(word[len(p) :], lang) for i, p in enumerate(pieces) if word.startswith(p))
+
+    want = np.array([[np.log(total(w, k) * langid.SCALE ** len(w)) for k in range(2)] for w in words])
+    assert np.allclose(model.word_scores(words), want)
+    weight = rng.random((len(words), 2))
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    lattice = langid.Lattice(model.pieces, [words[i] for i in order])
+    used = lattice.expected(model.table(), weight[order])
+    # Every byte of a word belongs to one piece of each segmentation.
+    assert np.allclose((used * model.pieces.lengths[:, None]).sum(axis=0), (weight * np.array([len(w) for w in words])[:, None]).sum(axis=0))
+
+
+def test_jensen_shannon_distance_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    for _ in range(5):
+        p, q = rng.dirichlet(np.ones(6)), rng.dirichlet(np.ones(6))
+        p[0] = 0
+        p /= p.sum()
+        m = (p + q) / 2
+        kl = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0)
+        got = spark.range(1).select(F.expr(quality_rules.distance(quality_rules._numbers(p.tolist()), quality_rules._numbers(q.tolist())))).first()[0]
+        assert np.isclose(got, np.sqrt((kl(p) + kl(q)) / 2))
+
+
+def test_embeddings_with_repeated_ids_ties_and_a_hot_bucket(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=48)
+    rows = [(i, (base + 0.1 * rng.normal(size=48)).tolist(), 1) for i in range(300)] + [(7, (-base).tolist(), 1), (400, base.tolist(), 1), (401, base.tolist(), 1), (None, base.tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").withColumn("bucket", F.lit(1)).withColumn("links", F.lit("x"))
+    x = {}
+    for i, v, _ in rows:
+        if i is not None and (i not in x or False):
+            x[i] = np.array(v) / np.linalg.norm(v)
+    got = embeddings.dedup(df, block=32).collect()
+    assert len(got) == len(rows) and sum(r["vec_id"] is None for r in got) == 1
+    by = {r["vec_id"]: r for r in got}
+    others = [i for i in x if i != 7]
+    want = {i: sum(x[i] @ x[j] >= 0.93 for j in others if j != i) for i in others}
+    extra = {i: int(x[i] @ x[7] >= 0.93) for i in others}
+    total = sum(want.values())
+    assert sum(by[i]["n_links"] for i in others) >= 0.95 * total and all(by[i]["n_links"] <= want[i] + extra[i] for i in others)
+    assert by[400]["component_id"] == by[401]["component_id"] == 0 and not by[400]["kept"]
+
+
+def test_forest_joins_what_the_pairs_join():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 60, 40), rng.integers(0, 60, 40)
+    x, y = embeddings.forest(a, b, 60)
+    root = np.arange(60)
+    for _ in range(60):
+        for i, j in zip(a, b, strict=True):
+            root[[i, j]] = min(root[i], root[j])
+    assert (root[x] == y).all() and set(x.tolist()) == set(np.flatnonzero(root != np.arange(60)).tolist())
+    assert [len(v) for v in embeddings.forest(a[:0], b[:0], 5)] == [0, 0]
+
+
+def test_moves_table():
+    moves, known, rng = bpe.Moves(4), {}, np.random.default_rng(0)
+    for _ in range(40):
+        keys = np.unique(rng.integers(0, 1 << 40, 300))
+        assert [known.get(k, -1) for k in keys.tolist()] == moves.find(keys).tolist()
+        keys = np.array([k for k in keys.tolist() if k not in known])
+        moves.add(keys, keys % 1000)
+        known |= {k: k % 1000 for k in keys.tolist()}
+        some = rng.choice(list(known), 50)
+        assert moves.find(some).tolist() == [known[k] for k in some.tolist()]
+
+
+def test_windows_of_equal_room_take_the_first(docs):
+    w = packing.Windows(10, 3)
+    assert w.add(6, "a") == [] and w.add(6, "b") == [] and w.add(4, "c") == [(0, [("a", 0), ("c", 6)])]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from sparkclade.llm import common
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: None)})()
+
+    with pytest.raises(ValueError):
+        common.scratch(Session())
