@@ -94,20 +94,44 @@ def squared_quartets(block: np.ndarray) -> float:
     return float((fro**2 - ((block.T @ block) ** 2).sum()) / fro) if fro else 0.0
 
 
-def agglomerate(m: int, score) -> Edges:
-    """Joins the clades whose union has the least score, until three are left."""
+#: Sides of a block up to which singular values are taken as such; beyond, as roots of those of its Gram matrix.
+DIRECT = 16
+
+
+def second_singulars(blocks: np.ndarray) -> np.ndarray:
+    """Second singular values of a stack of blocks of one shape."""
+    least = min(blocks.shape[1:])
+    if least < 2:
+        return np.zeros(len(blocks))
+    if least <= DIRECT:
+        return np.linalg.svd(blocks, compute_uv=False)[:, 1]
+    flat = blocks if blocks.shape[1] <= blocks.shape[2] else blocks.transpose(0, 2, 1)
+    return np.sqrt(np.maximum(np.linalg.eigvalsh(flat @ flat.transpose(0, 2, 1))[:, -2], 0))
+
+
+def agglomerate(m: int, score=None, score_many=None, pairs=None) -> Edges:
+    """Joins the clades whose union has the least score, until three are left.
+
+    score(clade) is of a union; score_many(clade, others) of its unions with each of some others;
+    pairs(a, b) of two clades.  Ties go to the first pair."""
+    if score_many is None:
+        score_many = (lambda a, others: [pairs(a, b) for b in others]) if pairs else (lambda a, others: [score(a | b) for b in others])
     clades = {i: frozenset([i]) for i in range(m)}
     live, edges, fresh = list(range(m)), [], m
-    known: dict[tuple[int, int], float] = {}
+    known = np.full((2 * m, 2 * m), np.inf)
+    for x, i in enumerate(live[:-1] if m > 3 else []):
+        known[i, live[x + 1 :]] = np.round(score_many(clades[i], [clades[j] for j in live[x + 1 :]]), 12)
     while len(live) > 3:
-        for x, i in enumerate(live):
-            for j in live[x + 1 :]:
-                if (i, j) not in known:
-                    known[i, j] = score(clades[i] | clades[j])
-        i, j = min(((a, b) for x, a in enumerate(live) for b in live[x + 1 :]), key=lambda p: (round(known[p], 12), p))
+        at = np.array(live)
+        now = known[np.ix_(at, at)]
+        x, y = np.unravel_index(np.argmin(now), now.shape)
+        i, j = live[x], live[y]
         clades[fresh] = clades[i] | clades[j]
         edges += [(i, fresh, 1.0), (j, fresh, 1.0)]
-        live = [k for k in live if k not in (i, j)] + [fresh]
+        live = [k for k in live if k not in (i, j)]
+        if len(live) > 2:
+            known[live, fresh] = np.round(score_many(clades[fresh], [clades[k] for k in live]), 12)
+        live.append(fresh)
         fresh += 1
     if len(live) > 2:
         edges += [(k, fresh, 1.0) for k in live]
@@ -116,10 +140,32 @@ def agglomerate(m: int, score) -> Edges:
     return edges
 
 
-def spectral_joining(s: np.ndarray, scorer=second_singular, alpha: float = 1.0) -> Edges:
-    s = s**alpha
-    everyone = set(range(len(s)))
-    return agglomerate(len(s), lambda a: scorer(s[np.ix_(sorted(a), sorted(everyone - a))]))
+def spectral_joining(s: np.ndarray, scorer=None, alpha: float = 1.0, pair_scorer=None) -> Edges:
+    """scorer: block -> score, by default its second singular value; pair_scorer: (s, rows, rows) -> score."""
+    s = np.sign(s) * np.abs(s) ** alpha
+    m = len(s)
+    if pair_scorer is not None:
+        return agglomerate(m, pairs=lambda a, b: pair_scorer(s, sorted(a), sorted(b)))
+    everyone = np.ones(m, dtype=bool)
+
+    def block(a: frozenset[int]) -> np.ndarray:
+        rest = everyone.copy()
+        rest[list(a)] = False
+        return s[np.ix_(sorted(a), np.flatnonzero(rest))]
+
+    if scorer is not None:
+        return agglomerate(m, lambda a: scorer(block(a)))
+
+    def many(a: frozenset[int], others: list[frozenset[int]]) -> np.ndarray:
+        out, sizes = np.zeros(len(others)), np.array([len(b) for b in others])
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            step = max(1, 4_000_000 // (m * (len(a) + int(size))))
+            for k in range(0, len(rows), step):
+                out[rows[k : k + step]] = second_singulars(np.stack([block(a | others[r]) for r in rows[k : k + step]]))
+        return out
+
+    return agglomerate(m, score_many=many)
 
 
 def flattening_joining(patterns: list[tuple[tuple[int, ...], int]], m: int, k: int) -> Edges:
@@ -143,18 +189,26 @@ def fiedler(s: np.ndarray) -> np.ndarray:
     return np.linalg.eigh(np.diag(s.sum(axis=0)) - s)[1][:, 1]
 
 
-def partition(s: np.ndarray, gaps: int = 1, least: int = 1, kind: str = "laplacian") -> np.ndarray:
-    """Two sides (True / False): sign split, and the widest gaps of the vector; the least second singular value wins."""
+def division_vector(s: np.ndarray, kind: str = "laplacian") -> np.ndarray:
+    """The vector whose signs or gaps divide the taxa."""
+    if kind == "laplacian":
+        return fiedler(s)
     if kind == "rw":
         root = 1 / np.sqrt(s.sum(axis=1))
-        v = np.linalg.eigh(root[:, None] * s * root)[1][:, -2] * root
-    elif kind == "centred":
+        return np.linalg.eigh(root[:, None] * s * root)[1][:, -2] * root
+    if kind == "centred":
         h = np.eye(len(s)) - 1 / len(s)
-        v = np.linalg.eigh(-2 * h @ -np.log(np.maximum(s, 1e-20)) @ h)[1][:, -1]
-    else:
-        v = fiedler(s)
+        return np.linalg.eigh(-2 * h @ -np.log(np.maximum(s, 1e-20)) @ h)[1][:, -1]
+    if kind == "similarity":
+        return np.linalg.eigh(s)[1][:, -2]
+    raise ValueError(f"unknown division {kind}")
+
+
+def partition(s: np.ndarray, gaps: int = 1, least: int = 1, kind: str = "laplacian", signs: bool = True) -> np.ndarray:
+    """Two sides (True / False): the sign split, and those at the widest gaps of the vector; the least second singular value wins."""
+    v = division_vector(s, kind)
     order = np.sort(v)
-    options = [v > 0]
+    options = [v > 0] if signs else []
     span = np.diff(order)[least - 1 : len(v) - least]
     for at in np.argsort(-span, kind="stable")[:gaps]:
         k = at + least - 1
@@ -165,6 +219,28 @@ def partition(s: np.ndarray, gaps: int = 1, least: int = 1, kind: str = "laplaci
     return min(fair, key=lambda o: round(second_singular(s[np.ix_(o, ~o)]), 12))
 
 
+#: Ways to divide recursively: a vector, and whether its signs or its widest gap divide.
+DIVISIONS = {f"{kind}_{how}": (kind, how) for kind in ("similarity", "laplacian", "rw") for how in ("zero", "gap")}
+
+
+def recursive_partition(s: np.ndarray, threshold: int, how: str) -> list[tuple[str, list[int], list[int]]]:
+    """(path, one side, other side) of every division, until parts have at most `threshold` taxa."""
+    kind, by = DIVISIONS[how]
+    out, stack = [], [("0", list(range(len(s))))]
+    while stack:
+        name, ids = stack.pop()
+        if len(ids) <= max(threshold, 2):
+            continue
+        own = s[np.ix_(ids, ids)]
+        side = division_vector(own, kind) < 0 if by == "zero" else partition(own, 1, 1, kind, signs=False)
+        if side.all() or not side.any():
+            continue
+        one, two = ([i for i, x in zip(ids, side, strict=True) if x == want] for want in (True, False))
+        out.append((name, one, two))
+        stack += [(f"{name}.0", one), (f"{name}.1", two)]
+    return sorted(out)
+
+
 def edge_score(x: np.ndarray, o: np.ndarray, kind: str) -> float:
     x, o = x.ravel(), o.ravel()
     if kind == "least_square":
@@ -177,9 +253,38 @@ def edge_score(x: np.ndarray, o: np.ndarray, kind: str) -> float:
     raise ValueError(f"unknown merge score {kind}")
 
 
+#: Merge scores that need more than one block: random ones draw pairs with a fixed seed.
+OTHER_SCORES = ("global_diff", "longest_branch", "closest_triplet", "spectrum", "partition")
+
+
+def _side_scores(kind: str, own: np.ndarray, vec: np.ndarray, top: float, splits_of: list[tuple[list[int], list[int]]], whole: np.ndarray, ids: list[int], draws: int = 1000) -> list[float]:
+    """A score for each edge (a, b) of one side; own: its similarity, vec and top: singular vector and value of the cross block."""
+    m, rng = len(own), np.random.default_rng(0)
+    if kind == "global_diff":
+        # One factor for all edges: the median of the smallest ratios among random pairs.
+        i, j = rng.integers(0, m, (2, 100 * m))
+        factor = np.median(np.sort(own[i, j] / np.maximum(vec[i] * vec[j], 1e-300))[:m])
+        return [float(np.linalg.norm(factor * np.outer(vec[a], vec[b]) - own[np.ix_(a, b)]) / max(np.linalg.norm(own[np.ix_(a, b)]), 1e-300)) for a, b in splits_of]
+    if kind in ("longest_branch", "closest_triplet"):
+        # The first by how much the implied squared root edge varies over random pairs across the edge, the second by its least value.
+        out = []
+        for a, b in splits_of:
+            i, j = rng.choice(a, draws), rng.choice(b, draws)
+            found = top**2 * vec[i] * vec[j] / np.maximum(own[i, j], 1e-300)
+            out.append(float(found.var() if kind == "longest_branch" else -found.min()))
+        return out
+    if kind == "spectrum":
+        side = np.linalg.eigh(np.diag(whole.sum(axis=0)) - whole)[1][:, 2][ids] < 0
+    else:
+        side = fiedler(own) > 0
+    # Taxa that must change sides for the edge to be the spectral split.
+    inside = [np.isin(np.arange(m), a) for a, _ in splits_of]
+    return [float(m - max((x == side).sum(), (x != side).sum())) for x in inside]
+
+
 def merge_trees(one: Edges, ids1: list[int], two: Edges, ids2: list[int], s: np.ndarray, kind: str) -> Edges:
     """Joins two trees (over 0.. of their ids) at the edges where the cross similarity says their roots are."""
-    u, _, vt = np.linalg.svd(s[np.ix_(ids1, ids2)])
+    u, top, vt = np.linalg.svd(s[np.ix_(ids1, ids2)], full_matrices=False)
     m = len(ids1) + len(ids2)
     out: Edges = []
     roots, fresh = [], m
@@ -188,12 +293,12 @@ def merge_trees(one: Edges, ids1: list[int], two: Edges, ids2: list[int], s: np.
             roots.append(first)
             continue
         own = s[np.ix_(ids, ids)]
-        best = None
-        for k, side in sides(edges, len(ids)):
-            a = sorted(side)
-            b = [x for x in range(len(ids)) if x not in side]
-            score = (round(edge_score(own[np.ix_(a, b)], np.outer(vec[a], vec[b]), kind), 12), k)
-            best = score if best is None or score < best else best
+        found = [(k, sorted(side), [x for x in range(len(ids)) if x not in side]) for k, side in sides(edges, len(ids))]
+        if kind in OTHER_SCORES:
+            scores = _side_scores(kind, own, vec, float(top[0]), [(a, b) for _, a, b in found], s, ids)
+        else:
+            scores = [edge_score(own[np.ix_(a, b)], np.outer(vec[a], vec[b]), kind) for _, a, b in found]
+        best = min((round(score, 12), k) for score, (k, _, _) in zip(scores, found, strict=True))
         rename = {x: first + x for x in range(len(ids))}
         for x, y, w in edges:
             for z in (x, y):
@@ -243,27 +348,45 @@ def merge_parts(solved: dict[str, tuple[list[int], Edges]], s: np.ndarray, kind:
     return [(name.get(x, x), name.get(y, y), w) for x, y, w in edges]
 
 
+def divided(s: np.ndarray, inner: str = "nj", threshold: int = 64, least: int = 1, gaps: int = 1, kind: str = "least_square") -> Edges:
+    """Spectral division, solving and merging in one task."""
+    solved = {name: (ids, INNER[inner](s[np.ix_(ids, ids)]) if len(ids) > 1 else []) for name, ids in parts_of(s, threshold, least, gaps)}
+    return merge_parts(solved, s, kind)
+
+
 def spanning_tree(d: np.ndarray) -> Edges:
-    """Minimum spanning tree (Prim)."""
+    """Minimum spanning tree (Prim): the nearest node outside joins next; of equal ones the first pair."""
     m = len(d)
-    inside, edges = {0}, []
-    while len(inside) < m:
-        w, u, v = min((d[u, v], u, v) for u in inside for v in range(m) if v not in inside)
-        edges.append((u, v, float(w)))
-        inside.add(v)
+    near, via, left, edges = d[0].astype(float).copy(), np.zeros(m, dtype=int), np.ones(m, dtype=bool), []
+    left[0] = False
+    while left.any():
+        out = np.flatnonzero(left)
+        v = int(out[np.lexsort((out, via[out], near[out]))[0]])
+        edges.append((int(via[v]), v, float(near[v])))
+        left[v] = False
+        closer = left & (d[v] < near)
+        near[closer], via[closer] = d[v][closer], v
     return edges
 
 
 def linkage(sim: np.ndarray, how: str) -> Edges:
-    """Agglomeration of the most similar clusters; single takes the largest, complete the least similarity."""
-    pick = {"single": np.max, "complete": np.min, "average": np.mean}[how]
-    clusters = {i: [i] for i in range(len(sim))}
-    edges, fresh = [], len(sim)
-    while len(clusters) > 1:
-        names = sorted(clusters)
-        _, a, b = min((-round(float(pick(sim[np.ix_(clusters[x], clusters[y])])), 12), x, y) for k, x in enumerate(names) for y in names[k + 1 :])
-        clusters[fresh] = clusters.pop(a) + clusters.pop(b)
+    """Agglomeration of the most similar clusters; single takes the largest, complete the least similarity, average the mean."""
+    m = len(sim)
+    now = np.full((2 * m, 2 * m), -np.inf)
+    now[:m, :m] = sim
+    size, live, edges, fresh = {i: 1 for i in range(m)}, list(range(m)), [], m
+    while len(live) > 1:
+        at = np.array(live)
+        part = np.round(now[np.ix_(at, at)], 12)
+        part[np.tril_indices(len(at))] = -np.inf
+        x, y = np.unravel_index(np.argmax(part), part.shape)
+        a, b = live[x], live[y]
         edges += [(a, fresh, 1.0), (b, fresh, 1.0)]
+        live = [k for k in live if k not in (a, b)]
+        joined = {"single": np.maximum, "complete": np.minimum, "average": lambda p, q: (size[a] * p + size[b] * q) / (size[a] + size[b])}[how](now[a, live], now[b, live])
+        now[fresh, live] = now[live, fresh] = joined
+        size[fresh] = size[a] + size[b]
+        live.append(fresh)
         fresh += 1
     return edges
 
@@ -326,73 +449,16 @@ def recursive_grouping(d: np.ndarray, tolerance: float = 1e-6) -> Edges:
     return edges
 
 
-def chow_liu_neighbor_joining(d: np.ndarray) -> Edges:
-    """Minimum spanning tree first; then each inner node's neighbourhood is resolved by neighbor joining."""
-    m = len(d)
-    edges = spanning_tree(d)
-    degree: dict[int, int] = {}
-    for u, v, _ in edges:
-        degree[u], degree[v] = degree.get(u, 0) + 1, degree.get(v, 0) + 1
-    fresh = m
-    for centre in sorted((i for i in degree if degree[i] > 1), key=lambda i: (-degree[i], i)):
-        around = sorted({v if u == centre else u for u, v, _ in edges if centre in (u, v)})
-        group = [centre, *around]
-        path = _tree_distances(edges, group, d)
-        local = neighbor_joining(path)
-        edges = [e for e in edges if not (centre in e[:2] and (e[0] in around or e[1] in around))]
-        rename = dict(enumerate(group))
-        for u, v, w in local:
-            for z in (u, v):
-                if z not in rename:
-                    rename[z] = fresh
-                    fresh += 1
-            edges.append((rename[u], rename[v], w))
-    return edges
-
-
-def _tree_distances(edges: Edges, nodes: list[int], d: np.ndarray) -> np.ndarray:
-    """Distances of observed nodes by d; of hidden ones by way of the nearest observed node beyond them."""
-    m, near = len(d), neighbours(edges)
-
-    def surrogate(x: int, centre: int) -> tuple[int, float]:
-        stack = [(x, centre, 0.0)]
-        while stack:
-            y, back, w = stack.pop(0)
-            if y < m:
-                return y, w
-            stack += sorted(((z, y, w + v) for z, v in near[y] if z != back), key=lambda t: t[2])
-        raise ValueError("a hidden node with nothing observed beyond it")
-
-    seen = [(x, 0.0) if x < m else surrogate(x, nodes[0]) for x in nodes]
-    out = np.array([[max(0.0, d[a, b] - wa - wb) if x != y else 0.0 for y, (b, wb) in zip(nodes, seen, strict=True)] for x, (a, wa) in zip(nodes, seen, strict=True)])
-    return out
-
-
 # Simulation --------------------------------------------------------------------------------
 
 
-def rate_matrix(pi: np.ndarray, rates: list[float]) -> np.ndarray:
-    """Reversible rates in order (0,1) (0,2) (0,3) (1,2) (1,3) (2,3), scaled to one change in unit time."""
-    k = len(pi)
-    q = np.zeros((k, k))
-    q[np.triu_indices(k, 1)] = rates
-    q = (q + q.T) * pi
-    q -= np.diag(q.sum(axis=1))
-    return q / -(np.diag(q) * pi).sum()
-
-
-def transition(q: np.ndarray, t: float) -> np.ndarray:
-    w, v = np.linalg.eig(q)
-    return np.real(v @ np.diag(np.exp(w * t)) @ np.linalg.inv(v))
-
-
-def kingman(m: int, rng: np.random.Generator) -> list[tuple[int, int, float]]:
-    """(child, parent, length): waiting times Exp(C(k, 2)), then a random pair joins."""
+def kingman(m: int, rng: np.random.Generator, mean: bool = False) -> list[tuple[int, int, float]]:
+    """(child, parent, length): waiting times Exp(C(k, 2)), or their means, then a random pair joins."""
     live = {i: 0.0 for i in range(m)}
     edges, fresh, now = [], m, 0.0
     while len(live) > 1:
         k = len(live)
-        now += rng.exponential(2 / (k * (k - 1)))
+        now += 2 / (k * (k - 1)) if mean else rng.exponential(2 / (k * (k - 1)))
         a, b = rng.choice(sorted(live), 2, replace=False).tolist()
         edges += [(a, fresh, now - live.pop(a)), (b, fresh, now - live.pop(b))]
         live[fresh] = now
@@ -445,77 +511,47 @@ def birth_death(m: int, rng: np.random.Generator, birth: float = 1.0, death: flo
     return [(order.get(c, c), order[p], w) for c, p, w in edges]
 
 
-def evolve(edges: list[tuple[int, int, float]], m: int, q: np.ndarray, pi: np.ndarray, sites: int, rng: np.random.Generator, rates: np.ndarray | None = None) -> np.ndarray:
-    """Leaf states (m x sites) along a rooted tree of (child, parent, length); rates scale each site's time."""
-    children: dict[int, list[tuple[int, float]]] = {}
-    for c, p, w in edges:
-        children.setdefault(p, []).append((c, w))
-    root = ({p for _, p, _ in edges} - {c for c, _, _ in edges}).pop()
-    state = {root: rng.choice(len(pi), size=sites, p=pi)}
-    stack, distinct = [root], [1.0] if rates is None else np.unique(rates)
+def random_topology(m: int, rng: np.random.Generator, length: float = 1.0) -> Edges:
+    """Random pairs join until three are left, which meet in one node."""
+    live, edges, fresh = list(range(m)), [], m
+    while len(live) > 3:
+        a, b = rng.choice(len(live), 2, replace=False).tolist()
+        edges += [(live[a], fresh, length), (live[b], fresh, length)]
+        live = [x for k, x in enumerate(live) if k not in (a, b)] + [fresh]
+        fresh += 1
+    return edges + ([(x, fresh, length) for x in live] if len(live) > 2 else [(live[0], live[1], length)])
+
+
+# Likelihoods -----------------------------------------------------------------------------
+
+
+def upward(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Edges (child, parent, length) of a rooted tree, children's before their parents'."""
+    children: dict[int, list[tuple[int, int, float]]] = {}
+    for e in edges:
+        children.setdefault(e[1], []).append(e)
+    order, stack = [], [({p for _, p, _ in edges} - {c for c, _, _ in edges}).pop()]
     while stack:
-        x = stack.pop()
-        for c, w in children.get(x, []):
-            out = np.empty(sites, dtype=np.int64)
-            for r in distinct:
-                at = slice(None) if rates is None else rates == r
-                cum = np.cumsum(transition(q, w * float(r)), axis=1)[state[x][at]]
-                out[at] = np.minimum((rng.random((len(cum), 1)) > cum).sum(axis=1), len(pi) - 1)
-            state[c] = out
-            stack.append(c)
-    return np.stack([state[i] for i in range(m)])
-
-
-# Latent class models -----------------------------------------------------------------------
-
-
-def latent_class(patterns: np.ndarray, weight: np.ndarray, k: int, levels: int, rng: np.random.Generator, steps: int = 100, tolerance: float = 1e-5) -> tuple[float, np.ndarray, np.ndarray]:
-    """EM of one latent variable with k classes over pattern counts: (log-likelihood, class shares, tables)."""
-    n, d = patterns.shape
-    hot = np.eye(levels)[patterns]
-    pi = rng.uniform(0.4, 0.6, k)
-    theta = rng.uniform(0.4, 0.6, (d, k, levels))
-    pi, theta, before = pi / pi.sum(), theta / theta.sum(axis=2, keepdims=True), -np.inf
-    for _ in range(steps):
-        beta = np.exp(np.einsum("ndl,dkl->nk", hot, np.log(np.maximum(theta, 1e-300)))) * pi
-        total = beta.sum(axis=1)
-        ll = float(weight @ np.log(total))
-        if ll - before < tolerance:
-            break
-        before = ll
-        share = beta / total[:, None] * weight[:, None]
-        pi = share.sum(axis=0) / weight.sum()
-        theta = np.einsum("nk,ndl->dkl", share, hot) + 1e-12
-        theta /= theta.sum(axis=2, keepdims=True)
-    return ll, pi, theta
-
-
-def latent_class_by_bic(patterns: np.ndarray, weight: np.ndarray, levels: int, seed: int = 1, most: int = 8) -> tuple[int, float]:
-    """(number of classes, log-likelihood) with the best ll - df/2 ln n."""
-    best = None
-    for k in range(1, most + 1):
-        ll = max(latent_class(patterns, weight, k, levels, np.random.default_rng(seed + r))[0] for r in range(3 if k > 1 else 1))
-        bic = ll - 0.5 * ((k - 1) + patterns.shape[1] * k * (levels - 1)) * np.log(weight.sum())
-        if best is not None and bic <= best[0]:
-            break
-        best = (bic, k, ll)
-    return best[1], best[2]
+        for e in children.get(stack.pop(), []):
+            order.append(e)
+            stack.append(e[0])
+    return order[::-1]
 
 
-def tree_log_likelihood(edges: list[tuple[int, int, float]], patterns: np.ndarray, weight: np.ndarray, q: np.ndarray, pi: np.ndarray) -> float:
-    """Pruning over a rooted tree of (child, parent, length)."""
-    k, m = len(pi), patterns.shape[1]
+def tree_log_likelihood(edges: list[tuple[int, int, float]], patterns: np.ndarray, weight: np.ndarray, model) -> float:
+    """Pruning over a rooted tree of (child, parent, length), of patterns (n x leaves) that occur so often.
+
+    Each node's values are scaled to a largest of 1, and the logs of the factors added up."""
+    hot, m = np.eye(len(model.pi)), patterns.shape[1]
     part: dict[int, np.ndarray] = {}
-    todo = list(edges)
-    waiting = {p: sum(1 for _, x, _ in edges if x == p) for _, p, _ in edges}
-    while todo:
-        c, p, w = next(e for e in todo if e[0] < m or waiting[e[0]] == 0)
-        todo.remove((c, p, w))
-        below = np.eye(k)[patterns[:, c]] if c < m else part[c]
-        part[p] = part.get(p, 1.0) * (below @ transition(q, max(w, 1e-6)).T)
-        waiting[p] -= 1
-    root = ({p for _, p, _ in edges} - {c for c, _, _ in edges}).pop()
-    return float(weight @ np.log(part[root] @ pi))
+    logs, order = np.zeros(len(patterns)), upward(edges)
+    for c, p, w in order:
+        below = hot[patterns[:, c]] if c < m else part.pop(c)
+        part[p] = part.get(p, 1.0) * (below @ model.matrix(max(w, 1e-6)).T)
+        most = part[p].max(axis=1, keepdims=True)
+        part[p] = part[p] / most
+        logs += np.log(most[:, 0])
+    return float(weight @ (np.log(part[order[-1][1]] @ model.pi) + logs))
 
 
 def nearest_interchanges(edges: Edges, m: int) -> list[Edges]:
@@ -550,14 +586,30 @@ def rooted(edges: Edges, root: int) -> list[tuple[int, int, float]]:
     return out
 
 
-def likelihood_search(patterns: np.ndarray, weight: np.ndarray, q: np.ndarray, pi: np.ndarray, start: Edges, rounds: int = 20) -> tuple[Edges, float]:
-    """Hill climbing by interchanges from a start tree; not an emulation of any other program."""
+def likelihood_search(patterns: np.ndarray, weight: np.ndarray, model, start: Edges, rounds: int | None = None) -> tuple[Edges, float]:
+    """Hill climbing by interchanges from a start tree, with branch lengths fitted in turn, until nothing improves
+    (or for some rounds); not an emulation of any other program."""
     m = patterns.shape[1]
-    score = lambda e: tree_log_likelihood(rooted(e, max(max(u, v) for u, v, _ in e)), patterns, weight, q, pi)
-    now, best = start, score(start)
-    for _ in range(rounds):
-        found = max(((score(e), k) for k, e in enumerate(nearest_interchanges(now, m))), default=(-np.inf, 0))
-        if found[0] <= best + 1e-9:
+    score = lambda e: tree_log_likelihood(rooted(e, max(max(u, v) for u, v, _ in e)), patterns, weight, model)
+    now, best = fitted_lengths(start, score)
+    while rounds is None or rounds > 0:
+        options = nearest_interchanges(now, m)
+        found = max(((score(e), k) for k, e in enumerate(options)), default=(-np.inf, 0))
+        if found[0] <= best + 1e-6:
             break
-        now, best = nearest_interchanges(now, m)[found[1]], found[0]
+        now, best = fitted_lengths(options[found[1]], score)
+        rounds = None if rounds is None else rounds - 1
     return now, best
+
+
+def fitted_lengths(edges: Edges, score, steps: tuple[float, ...] = (2.0, 1.3, 1.08)) -> tuple[Edges, float]:
+    """Each edge's length in turn is moved by factors while that helps."""
+    edges, best = list(edges), score(edges)
+    for factor in steps:
+        for k, (u, v, w) in enumerate(edges):
+            for f in (factor, 1 / factor):
+                tried = edges[:k] + [(u, v, max(edges[k][2], 1e-4) * f)] + edges[k + 1 :]
+                if (found := score(tried)) > best:
+                    edges, best = tried, found
+                    break
+    return edges, best

@@ -2,7 +2,8 @@
 
 Sites are exchangeable, so equal site columns could be merged first; conf() joins
 sites to themselves by site, which Spark can spread and split.  For many taxa use
-conf_blocked(): one-hot products of blocks of taxa, summed over chunks of sites.
+conf_blocked(), or mismatches() where only those count: one-hot products of blocks of
+taxa, summed over chunks of sites.
 """
 
 from __future__ import annotations
@@ -25,10 +26,6 @@ def conf(sites: DataFrame, diagonal: bool = False) -> DataFrame:
 
 def conf_blocked(sites: DataFrame, states: int, block: int = 256, chunk: int = 4096) -> DataFrame:
     """conf() without a row for each site and pair: blocks of taxa meet chunk by chunk of sites."""
-    at = sites.withColumn("blk", F.expr(f"taxon div {block}")).withColumn("chunk", F.expr(f"site div {chunk}"))
-    blocks = at.select("blk").distinct().agg(F.sort_array(F.collect_set("blk")).alias("all"))
-    sent = at.join(F.broadcast(blocks)).select("*", F.explode(F.expr("transform(all, o -> struct(least(o, blk) as lo, greatest(o, blk) as hi))")).alias("p"))
-
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
@@ -47,10 +44,61 @@ def conf_blocked(sites: DataFrame, states: int, block: int = 256, chunk: int = 4
                 found.append(pd.DataFrame({"i": taxa[x], "j": taxa[y], "a": a, "b": b, "cnt": g[x, y]}))
         return pd.concat(found, ignore_index=True)
 
-    done = sent.select("taxon", "site", "state", "chunk", "p.lo", "p.hi").groupBy("lo", "hi", "chunk").applyInPandas(product, "i int, j int, a int, b int, cnt bigint")
+    done = _block_pairs(sites, block, chunk).groupBy("lo", "hi", "chunk").applyInPandas(product, "i int, j int, a int, b int, cnt bigint")
     return done.groupBy("i", "j", "a", "b").agg(F.sum("cnt").alias("cnt"))
 
 
+def _block_pairs(sites: DataFrame, block: int, chunk: int) -> DataFrame:
+    """Rows of sites for each pair (lo, hi) of blocks of taxa that theirs is part of."""
+    at = sites.select("taxon", "site", "state").withColumn("blk", F.expr(f"taxon div {block}")).withColumn("chunk", F.expr(f"site div {chunk}"))
+    blocks = at.select("blk").distinct().agg(F.sort_array(F.collect_set("blk")).alias("all"))
+    spread = F.explode(F.expr("transform(all, o -> struct(least(o, blk) as lo, greatest(o, blk) as hi))")).alias("p")
+    return at.join(F.broadcast(blocks)).select("taxon", "site", "state", "chunk", spread).select("taxon", "site", "state", "chunk", "p.lo", "p.hi")
+
+
+def mismatches(sites: DataFrame, block: int = 512, chunk: int = 4096) -> DataFrame:
+    """(i, j, n, diff) for i < j: sites that both have, and those of them that differ.
+
+    Blocks of taxa meet as one-hot products, so no row is made for a site and pair."""
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        taxa, row = np.unique(pdf["taxon"].to_numpy(), return_inverse=True)
+        places, col = np.unique(pdf["site"].to_numpy(), return_inverse=True)
+        state = pdf["state"].to_numpy()
+        x = np.full((len(taxa), len(places)), -1, dtype=np.int64)
+        x[row, col] = state
+        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        left, right = np.flatnonzero(taxa // block == lo), np.flatnonzero(taxa // block == hi)
+        there = (x >= 0).astype(np.float32)
+        n = np.rint(there[left] @ there[right].T).astype(np.int64)
+        same = np.zeros(n.shape, dtype=np.int64)
+        for a in np.unique(state):
+            hot = (x == a).astype(np.float32)
+            same += np.rint(hot[left] @ hot[right].T).astype(np.int64)
+        i, j = np.nonzero((taxa[left][:, None] < taxa[right][None, :]) & (n > 0))
+        return pd.DataFrame({"i": taxa[left][i], "j": taxa[right][j], "n": n[i, j], "diff": (n - same)[i, j]})
+
+    done = _block_pairs(sites, block, chunk).groupBy("lo", "hi", "chunk").applyInPandas(product, "i int, j int, n bigint, diff bigint")
+    return done.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("diff").alias("diff"))
+
+
+def hamming_blocked(sites: DataFrame, block: int = 512, chunk: int = 4096) -> DataFrame:
+    """(i, j, h): hamming() of conf(), by mismatches()."""
+    return mismatches(sites, block, chunk).select("i", "j", (F.col("diff") / F.col("n")).alias("h"))
+
+
+def classes(sites: DataFrame) -> DataFrame:
+    """(k): how many states the data have."""
+    return sites.agg(F.count_distinct("state").alias("k"))
+
+
+def site_prefix(sites: DataFrame, n: int) -> DataFrame:
+    """The first n sites."""
+    return sites.where(F.col("site") < n)
+
+
 def valid_pairs(counts: DataFrame) -> DataFrame:
     return counts.groupBy("i", "j").agg(F.sum("cnt").alias("n"))
 

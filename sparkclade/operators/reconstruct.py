@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkclade.functions import kernels as K
+from sparkclade.functions import latent as L
+from sparkclade.functions import metrics, scorers
 
 SPLITS = "tree_id string, split string, size bigint"
 
@@ -30,28 +32,114 @@ def to_distance(s: np.ndarray) -> np.ndarray:
 #: Methods by name: similarity to edges.
 METHODS = {
     "nj": lambda s: K.neighbor_joining(to_distance(s)),
+    "nj_observed": lambda s: L.observed_neighbor_joining(to_distance(s)),
     "snj": K.spectral_joining,
-    "snj_sum_squared_quartets": lambda s: K.spectral_joining(s, K.squared_quartets),
+    "snj_half": lambda s: K.spectral_joining(s, alpha=0.5),
+    "snj_angle_of_second_vectors": lambda s: K.spectral_joining(s, pair_scorer=scorers.angle_of_second_vectors),
+    "snj_alignment_of_rows": lambda s: K.spectral_joining(s, pair_scorer=scorers.alignment_of_rows),
     "rg": lambda s: K.recursive_grouping(to_distance(s)),
-    "clnj": lambda s: K.chow_liu_neighbor_joining(to_distance(s)),
+    "rg_relaxed": lambda s: L.relaxed_grouping(to_distance(s)),
+    "clrg": lambda s: L.spanning_then(to_distance(s), L.relaxed_grouping),
+    "clnj": lambda s: L.spanning_then(to_distance(s), K.neighbor_joining, None),
+    "clnj_observed": lambda s: L.spanning_then(to_distance(s), L.observed_neighbor_joining),
     "hc_single": lambda s: K.linkage(s, "single"),
     "hc_complete": lambda s: K.linkage(s, "complete"),
     "hc_average": lambda s: K.linkage(s, "average"),
 }
 
 
-def _rows(tree_id: str, edges: K.Edges, m: int) -> pd.DataFrame:
+def register_method(name: str, f) -> None:
+    """f: similarity matrix -> edges (u, v, length), leaves first."""
+    METHODS[name] = f
+
+
+def register_scorer(name: str, f) -> None:
+    """A spectral joining by a scorer of one's own, block -> score; the method is called snj_<name>."""
+    METHODS[f"snj_{name}"] = lambda s: K.spectral_joining(s, f)
+
+
+def register_metric(name: str, f) -> None:
+    """f: states (taxa x sites) -> similarity matrix."""
+    metrics.METRICS[name] = f
+
+
+for _name in scorers.NAMES:
+    register_scorer(_name, scorers.by_values(_name))
+register_scorer("sum_squared_quartets", K.squared_quartets)
+for _inner in K.INNER:
+    for _t in (16, 32, 64, 128):
+        register_method(f"stdr_{_inner}_{_t}", lambda s, inner=_inner, t=_t: K.divided(s, inner, t))
+
+
+def similarity_of(x: np.ndarray, metric: str, least: float = 1e-6) -> np.ndarray:
+    if metric not in metrics.METRICS:
+        raise ValueError(f"unknown metric {metric}")
+    return np.maximum(metrics.METRICS[metric](x), least)
+
+
+def rows_of(tree_id: str, edges: K.Edges, m: int) -> pd.DataFrame:
     found = sorted(",".join(map(str, sorted(s))) for s in K.splits(edges, m))
     return pd.DataFrame({"tree_id": [tree_id] * len(found), "split": found, "size": [f.count(",") + 1 for f in found]})
 
 
+def from_sites(sites: DataFrame, method: str, metric: str = "jc") -> DataFrame:
+    """Splits from characters (tree_id, taxon, site, state): metric, then method, one dataset per task."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method}")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.pivot(index="taxon", columns="site", values="state").to_numpy()
+        return rows_of(pdf["tree_id"].iloc[0], METHODS[method](similarity_of(x, metric)), len(x))
+
+    return sites.groupBy("tree_id").applyInPandas(run, SPLITS)
+
+
+def recursive_divisions(sim: DataFrame, threshold: int, how: str) -> DataFrame:
+    """(tree_id, group, part, taxon) of every division of a recursive partition: part 1 and part 2."""
+    if how not in K.DIVISIONS:
+        raise ValueError(f"unknown division {how}")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(pdf["tree_id"].iloc[0], name, part, x) for name, one, two in K.recursive_partition(dense(pdf), threshold, how) for part, ids in ((1, one), (2, two)) for x in ids]
+        return pd.DataFrame(rows, columns=["tree_id", "group", "part", "taxon"])
+
+    return sim.groupBy("tree_id").applyInPandas(run, "tree_id string, group string, part int, taxon bigint")
+
+
+def eigengap(sim: DataFrame) -> DataFrame:
+    """(tree_id, split, gap): the taxa beyond the widest gap of the second eigenvector of the similarity, and the gap."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = K.division_vector(dense(pdf), "similarity")
+        order = np.sort(v)
+        at = int(np.argmax(np.diff(order)))
+        side = np.flatnonzero((v <= order[at]) != (v[0] <= order[at]))
+        return pd.DataFrame({"tree_id": [pdf["tree_id"].iloc[0]], "split": [",".join(map(str, side))], "gap": [float(order[at + 1] - order[at])]})
+
+    return sim.groupBy("tree_id").applyInPandas(run, "tree_id string, split string, gap double")
+
+
+def forest_scores(sites: DataFrame, method: str) -> DataFrame:
+    """(tree_id, name, value): scores of a forest learnt from sites (tree_id, taxon, site, state): each site is a sample."""
+    if method not in L.FORESTS:
+        raise ValueError(f"unknown forest {method}")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.pivot(index="site", columns="taxon", values="state").to_numpy().astype(int)
+        patterns, weight = np.unique(x, axis=0, return_counts=True)
+        found = L.scores(L.FORESTS[method](patterns, weight.astype(float), [int(x.max()) + 1] * x.shape[1]), patterns, weight.astype(float))
+        return pd.DataFrame({"tree_id": pdf["tree_id"].iloc[0], "name": list(found), "value": [float(v) for v in found.values()]})
+
+    return sites.groupBy("tree_id").applyInPandas(run, "tree_id string, name string, value double")
+
+
 def by_method(sim: DataFrame, method: str) -> DataFrame:
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         s = dense(pdf)
-        return _rows(pdf["tree_id"].iloc[0], METHODS[method](s), len(s))
+        return rows_of(pdf["tree_id"].iloc[0], METHODS[method](s), len(s))
 
     return sim.groupBy("tree_id").applyInPandas(run, SPLITS)
 
@@ -81,7 +169,7 @@ def divide_and_merge(sim: DataFrame, inner: str = "nj", threshold: int = 4, leas
     def merge(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         s = dense(left)
         have = {r.part: ([int(i) for i in r.ids], [(int(a), int(b), float(w)) for a, b, w in zip(r.u, r.v, r.w, strict=True)]) for r in right.itertuples()}
-        return _rows(key[0], K.merge_parts(have, s, score), len(s))
+        return rows_of(key[0], K.merge_parts(have, s, score), len(s))
 
     return sim.groupBy("tree_id").cogroup(solved.groupBy("tree_id")).applyInPandas(merge, SPLITS)
 
@@ -96,11 +184,11 @@ def spanning_edges(dist: DataFrame) -> DataFrame:
     return dist.groupBy("tree_id").applyInPandas(run, "tree_id string, u bigint, v bigint")
 
 
-def spectral_split(sim: DataFrame, kind: str = "laplacian") -> DataFrame:
+def spectral_split(sim: DataFrame, kind: str = "laplacian", gaps: int = 1, least: int = 1, signs: bool = True) -> DataFrame:
     """(tree_id, split): the first spectral split, by its side without taxon 0."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask = K.partition(dense(pdf), kind=kind)
+        mask = K.partition(dense(pdf), gaps, least, kind, signs)
         side = np.flatnonzero(mask != mask[0])
         return pd.DataFrame({"tree_id": [pdf["tree_id"].iloc[0]], "split": [",".join(map(str, side))]})
 
@@ -122,7 +210,7 @@ def spectrum_scores(values: DataFrame) -> DataFrame:
     s = values.withColumn("s1", F.expr("sv[0]")).withColumn("s2", F.expr("coalesce(get(sv, 1), 0D)")).withColumn("total", F.expr("aggregate(sv, 0D, (a, x) -> a + x)")).withColumn("fro2", F.expr("aggregate(sv, 0D, (a, x) -> a + x * x)")).withColumn("p4", F.expr("aggregate(sv, 0D, (a, x) -> a + x * x * x * x)"))
     rc = "cast(rows * cols as double)"
     return s.selectExpr(
-        "block", "s1 as first_sv", "s2 as plain", "s2 / (s1 + s2) as plain12", "s2 / total as plain_trace", "total - s1 as sum", "(total - s1) / total as sumtrace", "s2 * s2 - s1 * s1 as gap", "(s2 * s2 - s1 * s1) / (s1 * s1 + s2 * s2) as gap12", "(s2 * s2 - s1 * s1) / fro2 as gapnorm",
-        f"(total - s1) / sqrt({rc}) as hack1", f"(total - s1) / {rc} as hack1half", "(total - s1) / least(rows, cols) as hack2", "s1 * s1 * (fro2 - s1 * s1) as weird04", "fro2 - s1 * s1 as hack3", "s1 * s1 * (fro2 - s1 * s1) / fro2 as weird5", "(fro2 * fro2 - p4) / 2 as weird6", "total as nuke",
-        "(fro2 - s1 * s1) / (s1 * s1) as frob_norm", "fro2 / (s1 * s1) as stable_rank", "fro2 * fro2 - pow(s1, 4) as overestimate", "(fro2 * fro2 - p4) / (2 * s1 * s1) as weird7", "aggregate(transform(sv, x -> abs(x - total / size(sv))), 0D, (a, x) -> a + x) as energy", "sqrt(greatest(fro2 - s1 * s1, 0D)) as sum_singular_values",
+        "block", "s1 as first", "s2 as second", "s2 / (s1 + s2) as second_of_two", "s2 / total as second_of_all", "total - s1 as rest", "(total - s1) / total as rest_of_all", "s2 * s2 - s1 * s1 as gap", "(s2 * s2 - s1 * s1) / (s1 * s1 + s2 * s2) as gap_of_two", "(s2 * s2 - s1 * s1) / fro2 as gap_of_all",
+        f"(total - s1) / sqrt({rc}) as rest_by_root_size", f"(total - s1) / {rc} as rest_by_size", "(total - s1) / least(rows, cols) as rest_by_side", "s1 * s1 * (fro2 - s1 * s1) as first_times_rest", "fro2 - s1 * s1 as rest_squares", "s1 * s1 * (fro2 - s1 * s1) / fro2 as first_times_rest_of_all", "(fro2 * fro2 - p4) / 2 as minors", "total as nuclear",
+        "(fro2 - s1 * s1) / (s1 * s1) as rest_over_first", "fro2 / (s1 * s1) as stable_rank", "fro2 * fro2 - pow(s1, 4) as over", "(fro2 * fro2 - p4) / (2 * s1 * s1) as minors_by_first", "aggregate(transform(sv, x -> abs(x - total / size(sv))), 0D, (a, x) -> a + x) as spread", "sqrt(greatest(fro2 - s1 * s1, 0D)) as root_rest_squares",
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,19 @@ def _det(k: int) -> Column:
     return total
 
 
+def _packed_dets(conf: DataFrame, k: int) -> DataFrame:
+    @F.pandas_udf("double")
+    def det(tables: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return pd.Series(np.linalg.det(np.stack(tables.to_numpy()).reshape(-1, k, k)))
+
+    inside = conf.where((F.col("a") < k) & (F.col("b") < k))
+    cells = inside.groupBy("i", "j").agg(F.sum("cnt").alias("n"), F.map_from_entries(F.collect_list(F.struct((F.col("a") * k + F.col("b")).alias("c"), "cnt"))).alias("m"))
+    table = F.expr(f"transform(sequence(0, {k * k - 1}), c -> coalesce(m[c], 0L) / cast(n as double))")
+    return cells.select("i", "j", det(table).alias("det"))
+
+
 def joint_tables(conf: DataFrame, k: int) -> DataFrame:
     """(i, j, n, f00..): joint frequencies side by side."""
     n = F.sum("cnt")
@@ -50,8 +64,10 @@ def joint_tables(conf: DataFrame, k: int) -> DataFrame:
 
 
 def log_det(conf_with_diagonal: DataFrame, k: int, normalised: bool = True) -> DataFrame:
-    """det of the joint table over the geometric mean of the two diagonal ones; 0 where a taxon lacks a state."""
-    dets = joint_tables(conf_with_diagonal, k).select("i", "j", _det(k).alias("det"))
+    """det of the joint table over the geometric mean of the two diagonal ones; 0 where a taxon lacks a state.
+
+    Up to four states the determinant is an expression; beyond, numpy takes those of a batch together."""
+    dets = joint_tables(conf_with_diagonal, k).select("i", "j", _det(k).alias("det")) if k <= 4 else _packed_dets(conf_with_diagonal, k)
     if not normalised:
         return dets.where("i < j").select("i", "j", F.col("det").alias("s"))
     own = dets.where("i = j")
@@ -101,6 +117,45 @@ def signed_mi(conf: DataFrame) -> DataFrame:
     return mutual_information(conf).join(sign, ["i", "j"]).select("i", "j", (F.col("mi") * F.col("sg")).alias("mi"))
 
 
+def binary_mi(conf_with_diagonal: DataFrame) -> DataFrame:
+    """(i, j, mi) for i <= j: H_i + H_j - H_ij by natural logs with 1e-20 added, 0 for i = j."""
+    p = joint_tables(conf_with_diagonal, 2)
+    entropy = lambda *cells: "-(" + " + ".join(f"({c}) * ln({c} + 1e-20D)" for c in cells) + ")"
+    both = f"{entropy('f00 + f01', 'f10 + f11')} + {entropy('f00 + f10', 'f01 + f11')} - {entropy('f00', 'f01', 'f10', 'f11')}"
+    return p.select("i", "j", F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.expr(both)).alias("mi"))
+
+
+def threshold(sim: DataFrame, t: float) -> DataFrame:
+    """Only similarities above t: the rest are no rows."""
+    return sim.where(F.col("s") > t)
+
+
+def power(sim: DataFrame, alpha: float, least: float = 1e-20) -> DataFrame:
+    return sim.select("i", "j", F.pow(F.greatest("s", F.lit(least)), F.lit(alpha)).alias("s"))
+
+
+def argmin_pair(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the pair (i, j) of the least score; of equal ones the first."""
+    return scores.groupBy(*keys).agg(F.min(F.struct("score", "i", "j")).alias("x")).select(*keys, "x.i", "x.j", "x.score")
+
+
+def median_of_smallest(values: DataFrame, keys: list[str], m: int) -> DataFrame:
+    """Per key the median of the m smallest values (v)."""
+    from pyspark.sql import Window
+
+    ranked = values.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("v")))
+    return ranked.where(F.col("r") <= m).groupBy(*keys).agg(F.median("v").alias("mid"))
+
+
+def gaps(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key, of values (i, v) in order: (i, gap to the next, place, rank by falling gap)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy("v", "i")
+    g = values.withColumn("gap", F.lead("v").over(w) - F.col("v")).withColumn("k", F.row_number().over(w)).where("gap is not null")
+    return g.select(*keys, "i", "gap", "k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("gap"), "i")).alias("best"))
+
+
 # Matrices ----------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkclade.operators import counts as C
+from sparkclade.operators import metadata as M_
 from sparkclade.operators import reconstruct as R
 from sparkclade.operators import similarity as S
 from sparkclade.operators import simulate as M
@@ -91,12 +92,12 @@ def valid_pairs(spark, d):
 
 @query(EMB4 + HAM + f" SELECT i, j, {rds('h')} AS h FROM ham")
 def hamming(spark, d):
-    return ids(C.hamming(C.conf(observe.of_vectors(observe.table(spark, d, "embeddings")))))
+    return ids(C.hamming_blocked(observe.of_vectors(observe.table(spark, d, "embeddings"))))
 
 
 @query(EVT + HAM.replace("FROM conf GROUP", "FROM conf WHERE a <> 4 AND b <> 4 GROUP") + f" SELECT i, j, {rds('h')} AS h FROM ham")
 def hamming_missing(spark, d):
-    return ids(C.hamming(C.conf(evt(spark, d).where("state <> 4"))))
+    return ids(C.hamming_blocked(evt(spark, d).where("state <> 4")))
 
 
 @query(LAB4 + ", f AS (SELECT taxon, count(*) AS n, sum(CAST(state = 0 AS INT)) AS c0, sum(CAST(state = 1 AS INT)) AS c1, sum(CAST(state = 2 AS INT)) AS c2, sum(CAST(state = 3 AS INT)) AS c3 FROM sites GROUP BY 1) SELECT x.taxon AS i, y.taxon AS j, " + ", ".join(rds(f"(x.c{k} + y.c{k}) / CAST(x.n + y.n AS DOUBLE)") + f" AS g{k}" for k in range(4)) + " FROM f x JOIN f y ON x.taxon < y.taxon")
@@ -119,7 +120,7 @@ def site_patterns(spark, d):
 
 @query(EMB4 + JC + f" SELECT i, j, {rds('s')} AS s FROM sim")
 def jc_similarity(spark, d):
-    return ids(S.jukes_cantor(C.hamming(C.conf(observe.of_vectors(observe.table(spark, d, "embeddings")))), 4))
+    return ids(S.jukes_cantor(C.hamming_blocked(observe.of_vectors(observe.table(spark, d, "embeddings"))), 4))
 
 
 def _jc(spark, d) -> DataFrame:
@@ -230,14 +231,14 @@ def info_distance_binary(spark, d):
     return ids(S.information_distance(C.conf(lab2(spark, d))))
 
 
-@query(LAB4 + JC + f" SELECT i, j, {rds('s')} AS s FROM sim WHERE s > 0.05")
+@query(LAB4 + JC + f" SELECT i, j, {rds('s')} AS s FROM sim WHERE s > 0.00001")
 def sim_threshold(spark, d):
-    return ids(_jc(spark, d).where("s > 0.05"))
+    return ids(S.threshold(_jc(spark, d), 0.00001))
 
 
 @query(LAB4 + JC + f" SELECT i, j, {rds('pow(greatest(s, 1e-20), 1.5)')} AS s FROM sim")
 def sim_power(spark, d):
-    return ids(_jc(spark, d).select("i", "j", F.pow(F.greatest("s", F.lit(1e-20)), F.lit(1.5)).alias("s")))
+    return ids(S.power(_jc(spark, d), 1.5))
 
 
 def _mat(spark, d) -> DataFrame:
@@ -297,11 +298,7 @@ def merge_scores(spark, d):
 
 @query(LAB4 + FULL + f", g AS (SELECT i, sum(s) AS v FROM mat GROUP BY 1), p AS (SELECT i, v, lead(v) OVER (ORDER BY v, i) - v AS gap, row_number() OVER (ORDER BY v, i) AS k FROM g) SELECT i, {rds('gap')} AS gap, k, row_number() OVER (ORDER BY gap DESC, i) AS best FROM p WHERE gap IS NOT NULL")
 def gap_candidates(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.orderBy("deg", "i")
-    g = S.degree(_mat(spark, d)).withColumn("gap", F.lead("deg").over(w) - F.col("deg")).withColumn("k", F.row_number().over(w)).where("gap is not null")
-    return ids(g.select("i", "gap", "k", F.row_number().over(Window.orderBy(F.desc("gap"), "i")).alias("best")))
+    return ids(S.gaps(S.degree(_mat(spark, d)).select(F.lit("all").alias("tree_id"), "i", F.col("deg").alias("v")), ["tree_id"]).drop("tree_id"))
 
 
 @query("SELECT l_returnflag AS method, CAST(l_linenumber AS BIGINT) AS n, round(CAST(avg(l_quantity) AS DOUBLE), 2) AS mean, round(CAST(stddev_samp(CAST(l_quantity AS DOUBLE)) AS DOUBLE), 2) AS sd, count(*) AS runs, count(DISTINCT l_suppkey) AS kinds FROM lineitem GROUP BY 1, 2")
@@ -431,8 +428,7 @@ def normalized_rf_topo_equal(spark, d):
 
 @query(BOTHS + " SELECT o.tree_id, o.split, EXISTS (SELECT 1 FROM rs r WHERE r.tree_id = o.tree_id AND r.split = o.split) AS found FROM ws o")
 def is_split(spark, d):
-    inside = ref_splits(spark).select("tree_id", "split", F.lit(True).alias("found"))
-    return T.splits(T.clades(T.of_edges(spark, OTHER))).select("tree_id", "split").join(inside, ["tree_id", "split"], "left").select("tree_id", "split", F.coalesce("found", F.lit(False)).alias("found"))
+    return T.contains(T.splits(T.clades(T.of_edges(spark, OTHER))), ref_splits(spark))
 
 
 @query(REFUP.replace("WHERE taxon IS NOT NULL UNION", "WHERE taxon IS NOT NULL AND taxon <> 3 UNION") + ", " + _split("r") + " SELECT tree_id, split, size FROM rs")
@@ -441,10 +437,17 @@ def restricted_splits(spark, d):
     return T.splits(T.restrict(T.clades(ref(spark)), taxa))
 
 
-@query(REFS + " SELECT tree_id, split, size FROM rs WHERE tree_id = 'six'")
+@query("SELECT * FROM (VALUES ('six', 0, 6, 0.1, 0), ('six', 1, 6, 0.3, 1), ('six', 2, 7, 0.2, 2), ('six', 3, 8, 0.15, 3), ('six', 4, 8, 0.4, 4), ('six', 5, 9, 0.25, 5), ('six', 6, NULL, NULL, NULL), ('six', 7, 6, 0.12, NULL), ('six', 9, 7, 0.22, NULL), ('six', 8, 9, 0.18, NULL)) v(tree_id, node, parent, length, taxon)".replace("SELECT *", "SELECT tree_id, CAST(node AS BIGINT) AS node, CAST(parent AS BIGINT) AS parent, CAST(length AS DOUBLE) AS length, CAST(taxon AS BIGINT) AS taxon"))
 def reroot(spark, d):
-    six = ref(spark).where("tree_id = 'six'")
-    return T.splits(T.clades(T.reroot(six, 6, 6)))
+    """At node 6: the edges 6-7 and 7-9 turn round, the others stay."""
+    return T.reroot(ref(spark).where("tree_id = 'six'"), 6, 6)
+
+
+@query("SELECT * FROM (SELECT tree_id, CAST(node AS BIGINT) AS node, CAST(parent AS BIGINT) AS parent FROM (VALUES ('four', 0, 6), ('four', 1, 5), ('four', 2, 4), ('four', 3, 4), ('four', 4, 5), ('four', 5, 6), ('four', 6, NULL)) v(tree_id, node, parent))")
+def adjacency_tree(spark, d):
+    """Undirected edges 0-6 1-5 2-4 3-4 4-5 5-6, from node 6 on."""
+    e = spark.sql("SELECT 'four' AS tree_id, CAST(col1 AS BIGINT) AS u, CAST(col2 AS BIGINT) AS v, 1D AS length FROM VALUES (0, 6), (1, 5), (2, 4), (3, 4), (4, 5), (5, 6)")
+    return T.adjacency_to_tree(e, 6, 4).select("tree_id", "node", "parent")
 
 
 @query("WITH n AS (SELECT unnest(range(1, 64)) AS node) SELECT 'balanced32' AS tree_id, node, CASE WHEN node > 1 THEN node // 2 END AS parent, CASE WHEN node > 1 THEN CAST(0.5 AS DOUBLE) END AS length, CASE WHEN node >= 32 THEN node - 32 END AS taxon FROM n")
@@ -465,7 +468,7 @@ def _method(name: str, trees: str = "true"):
     return query(REFS + f" SELECT tree_id, split, size FROM rs WHERE {trees}")(run)
 
 
-for _name in ("nj", "snj", "snj_sum_squared_quartets", "rg", "clnj"):
+for _name in ("nj", "nj_observed", "snj", "snj_sum_squared_quartets", "snj_max_quartet", "snj_root_rest_squares", "rg", "clnj", "clnj_observed"):
     _method(_name)
 for _name in ("hc_single", "hc_complete", "hc_average"):
     _method(_name, "tree_id = 'balanced8'")
@@ -481,19 +484,34 @@ def str_snj_additive(spark, d):
     return R.divide_and_merge(exact(spark), "snj", 4, score="angle")
 
 
-@query("SELECT 'balanced8' AS tree_id, '4,5,6,7' AS split")
+_HALVES = "SELECT tree_id, string_agg(CAST(t AS VARCHAR), ',' ORDER BY t) AS split FROM (SELECT tree_id, unnest(range(m // 2, m)) AS t FROM (VALUES ('balanced8', 8), ('balanced16', 16), ('balanced32', 32), ('double_star12', 12)) v(tree_id, m)) GROUP BY 1"
+
+
+def halved(spark) -> DataFrame:
+    """Similarities of trees whose first division is known: the lower and the upper half."""
+    many = T.balanced(spark, 8, 0.3).unionByName(T.balanced(spark, 16, 0.25)).unionByName(T.balanced(spark, 32, 0.2)).unionByName(T.double_star(spark, 12, 0.4))
+    return T.patristic(many).select("tree_id", "i", "j", F.exp(-F.col("d")).alias("s"))
+
+
+@query(_HALVES)
 def fiedler_split(spark, d):
-    return R.spectral_split(exact(spark).where("tree_id = 'balanced8'"))
+    return R.spectral_split(halved(spark))
 
 
-@query("SELECT 'balanced8' AS tree_id, '4,5,6,7' AS split")
+@query(_HALVES)
 def griffing_split(spark, d):
-    return R.spectral_split(exact(spark).where("tree_id = 'balanced8'"), "centred")
+    return R.spectral_split(halved(spark), "centred")
 
 
-@query("SELECT 'balanced8' AS tree_id, '4,5,6,7' AS split")
+@query(_HALVES)
 def random_walk_split(spark, d):
-    return R.spectral_split(exact(spark).where("tree_id = 'balanced8'"), "rw")
+    return R.spectral_split(halved(spark), "rw")
+
+
+@query(_HALVES)
+def gap_split(spark, d):
+    """Only gaps, three of them, with at least three taxa on either side."""
+    return R.spectral_split(halved(spark), "laplacian", gaps=3, least=3, signs=False)
 
 
 @query(f"WITH t AS {_values(REF)} SELECT DISTINCT tree_id, least(node, parent) AS u, greatest(node, parent) AS v FROM t WHERE parent IS NOT NULL AND tree_id = 'cat8'")
@@ -508,17 +526,22 @@ _NEWICK = "((dog:0.1,cat:0.3)x:0.12[&k={1}],(snake:0.2,'big fish':0.15):0.2,tree
 
 @query("SELECT 'n' AS tree_id, CAST(node AS BIGINT) AS node, CAST(parent AS BIGINT) AS parent, CAST(length AS DOUBLE) AS length, label FROM (VALUES (0, NULL, NULL, NULL), (1, 0, 0.12, 'x'), (2, 1, 0.1, 'dog'), (3, 1, 0.3, 'cat'), (4, 0, 0.2, NULL), (5, 4, 0.2, 'snake'), (6, 4, 0.15, 'big fish'), (7, 0, 0.4, 'tree')) v(node, parent, length, label)")
 def newick_parse(spark, d):
-    return newick.read(spark.sql("SELECT 'n' AS tree_id, :t AS newick", args={"t": _NEWICK}))
+    return newick.read(spark.sql("SELECT 'n' AS tree_id, :t AS newick", args={"t": _NEWICK})).drop("attrs")
 
 
-@query("SELECT 'n' AS tree_id, '((dog:0.1,cat:0.3)x:0.12,(snake:0.2,big fish:0.15):0.2,tree:0.4);' AS newick")
+@query("SELECT 'n' AS tree_id, '((dog:0.1,cat:0.3)x:0.12,(snake:0.2,''big fish'':0.15):0.2,tree:0.4);' AS newick")
 def newick_write(spark, d):
-    return newick.write(newick_parse(spark, d))
+    """Written, read and written again."""
+    return newick.write(newick.read(newick.write(newick_parse(spark, d))))
 
 
 _NS = "WITH ns(ns_ix, label) AS (VALUES (0, 'dog'), (1, 'cat'), (2, 'snake'), (3, 'fish'), (4, 'tree')), taxa(row_ix, label) AS (VALUES (0, 'fish'), (1, 'snake'), (2, 'cat'), (3, 'dog'))"
 
 
+def labels(spark, *names: str) -> DataFrame:
+    return spark.sql("SELECT explode(:v) AS label", args={"v": F.array(*map(F.lit, names))})
+
+
 def _ns(spark) -> tuple[DataFrame, DataFrame]:
     ns = spark.sql("SELECT CAST(col1 AS BIGINT) AS ns_ix, col2 AS label FROM VALUES (0, 'dog'), (1, 'cat'), (2, 'snake'), (3, 'fish'), (4, 'tree')")
     taxa = spark.sql("SELECT CAST(col1 AS BIGINT) AS row_ix, col2 AS label FROM VALUES (0, 'fish'), (1, 'snake'), (2, 'cat'), (3, 'dog')")
@@ -527,22 +550,21 @@ def _ns(spark) -> tuple[DataFrame, DataFrame]:
 
 @query(_NS + " SELECT CAST(row_ix AS BIGINT) AS row_ix, label, label IN ('snake', 'dog') AS inside FROM taxa")
 def taxa_mask(spark, d):
-    return _ns(spark)[1].select("row_ix", "label", F.col("label").isin("snake", "dog").alias("inside"))
+    return M_.mask_of(_ns(spark)[1], labels(spark, "snake", "dog"))
 
 
 @query("SELECT '11100' AS bipartition")
 def mask_bipartition(spark, d):
     """Highest namespace index first, on the side where index 0 is 0."""
-    ns, _ = _ns(spark)
-    bits = ns.select("ns_ix", F.col("label").isin("dog", "cat").cast("int").alias("b"))
-    row = bits.agg(F.array_sort(F.collect_list(F.struct("ns_ix", "b"))).alias("v"))
-    return row.select(F.array_join(F.reverse(F.transform("v", lambda x: (x["b"].bitwiseXOR(F.col("v")[0]["b"])).cast("string"))), "").alias("bipartition"))
+    ns, taxa = _ns(spark)
+    return M_.bipartition_of(ns, M_.mask_of(taxa, labels(spark, "dog", "cat")))
 
 
 @query(_NS + " SELECT CAST(row_ix AS BIGINT) AS row_ix, label FROM taxa WHERE label NOT IN ('snake', 'dog')")
 def invert_mask(spark, d):
     taxa = _ns(spark)[1]
-    return taxa.join(taxa.where(F.col("label").isin("snake", "dog")), "label", "left_anti").select("row_ix", "label")
+    every = M_.mask_of(taxa, taxa.select("label"))
+    return M_.taxa_of(M_.invert_mask(M_.mask_of(taxa, labels(spark, "snake", "dog")), every))
 
 
 @query(_NS + " SELECT CAST(t.row_ix AS BIGINT) AS row_ix, CAST(n.ns_ix AS BIGINT) AS ns_ix, label FROM taxa t JOIN ns n USING (label)")
@@ -636,33 +658,33 @@ def latent_class_bic(spark, d):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        from sparkclade.functions import kernels
+        from sparkclade.functions import latent
 
         x = np.array([[int(v) for v in p.split(",")] for p in pdf["pattern"]])
-        k, ll = kernels.latent_class_by_bic(x, pdf["cnt"].to_numpy(float), 2)
+        k, ll, *_ = latent.latent_class_by_bic(latent.evidence(x, [2] * x.shape[1]), pdf["cnt"].to_numpy(float))
         return pd.DataFrame({"classes": [k], "ll": [ll]})
 
     return C.site_patterns(lab2(spark, d)).groupBy(F.lit(1).alias("one")).applyInPandas(run, "classes int, ll double")
 
 
-@query()
+@query("SELECT CAST(id AS VARCHAR) AS tree_id, string_agg(CAST(t AS VARCHAR), ',' ORDER BY t) AS split FROM (SELECT id, k, unnest(range(k, CASE WHEN k = 4 THEN 8 ELSE k + 2 END)) AS t FROM (SELECT unnest([1, 2, 3]) AS id), (SELECT unnest([2, 4, 6]) AS k)) GROUP BY id, k UNION ALL SELECT CAST(id AS VARCHAR), '4,5' FROM (SELECT unnest([1, 2, 3]) AS id) UNION ALL SELECT CAST(id AS VARCHAR), '2,3,4,5,6,7' FROM (SELECT unnest([1, 2, 3]) AS id)")
 def ml_interchange_search(spark, d):
+    """Maximum likelihood by interchanges finds the generating balanced trees."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         from sparkclade.functions import kernels as K
+        from sparkclade.functions import models
 
-        x = pdf.pivot(index="taxon", columns="site", values="state").to_numpy()
+        x = pdf.pivot(index="taxon", columns="site", values="state").to_numpy().astype(int)
         patterns, weight = np.unique(x.T, axis=0, return_counts=True)
-        pi = np.full(4, 0.25)
-        start = K.neighbor_joining(-np.log(np.maximum(M.jc_similarity(x), 1e-6)))
-        start = [(u, v, max(w, 1e-4)) for u, v, w in start]
-        edges, ll = K.likelihood_search(patterns, weight.astype(float), K.rate_matrix(pi, M.PRESETS["jc"]), pi, start, 3)
-        return pd.DataFrame({"trial": [pdf["trial"].iloc[0]], "ll": [ll], "splits": [len(K.splits(edges, len(x)))]})
+        start = [(u, v, max(w, 1e-4)) for u, v, w in K.neighbor_joining(-np.log(R.similarity_of(x, "jc")))]
+        edges, _ = K.likelihood_search(patterns, weight.astype(float), models.JukesCantor(4), start)
+        return R.rows_of(str(pdf["trial"].iloc[0]), edges, len(x))[["tree_id", "split"]]
 
-    return M.sequences(_trials(spark, "balanced")).groupBy("trial").applyInPandas(run, "trial bigint, ll double, splits int")
+    return M.sequences(_trials(spark, "balanced").where("trial > 0").withColumn("n", F.lit(1500))).groupBy("trial").applyInPandas(run, "tree_id string, split string")
 
 
 @query()
@@ -677,5 +699,5 @@ def treesvd(spark, d):
         found = sorted(",".join(map(str, sorted(s))) for s in K.splits(edges, len(patterns[0][0])))
         return pd.DataFrame({"split": found})
 
-    one = M.sequences(_trials(spark, "balanced").where("trial = 1").withColumn("n", F.lit(1000)))
+    one = M.sequences(_trials(spark, "balanced").where("trial = 1").withColumn("n", F.lit(1000))).withColumn("state", F.col("state").cast("int"))
     return C.site_patterns(one).groupBy(F.lit(1).alias("one")).applyInPandas(run, "split string")

@@ -50,9 +50,18 @@ def of_events(events: DataFrame) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(label, seq) of FASTA files; a record may be wrapped over many lines and is split off by its '>'."""
-    records = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
+    return fasta_records(spark.read.option("lineSep", ">").text(path))
+
+
+def parse_fasta(texts: DataFrame) -> DataFrame:
+    """(label, seq) of whole FASTA texts (value)."""
+    return fasta_records(texts.select(F.explode(F.split("value", ">")).alias("value")))
+
+
+def fasta_records(records: DataFrame) -> DataFrame:
+    """(label, seq) of records (value) without their '>'."""
     lines = F.split("value", "\n")
-    return records.select(F.trim(lines[0]).alias("label"), F.regexp_replace(F.array_join(F.slice(lines, 2, F.size(lines)), ""), r"\s", "").alias("seq"))
+    return records.where("trim(value) <> ''").select(F.regexp_replace(lines[0], r"^\s+|\s+$", "").alias("label"), F.regexp_replace(F.array_join(F.slice(lines, 2, F.size(lines)), ""), r"\s", "").alias("seq"))
 
 
 def encode(seqs: DataFrame, alphabet: dict[str, int] | None = None) -> DataFrame:
@@ -72,13 +81,18 @@ def to_sites(coded: DataFrame, missing: int = 4) -> DataFrame:
 
 
 def phylip(seqs: DataFrame) -> DataFrame:
-    """Lines (ix, value) of a relaxed PHYLIP alignment."""
+    """Lines (ix, value) of a relaxed PHYLIP alignment; results.write_lines puts them out in order."""
     head = seqs.agg(F.count("*").alias("m"), F.max(F.length("seq")).alias("n")).select(F.lit(-1).alias("ix"), F.concat_ws(" ", "m", "n").alias("value"))
-    return head.union(seqs.select(F.lit(0).alias("ix"), F.concat_ws(" ", "label", "seq").alias("value")))
+    return head.union(seqs.select(F.lit(0).alias("ix"), F.concat_ws(" ", F.translate("label", " \t", "__"), "seq").alias("value")))
 
 
 def read_distances(spark: SparkSession, path: str) -> DataFrame:
     """(a, b, d), both ways, of lines 'a b d'."""
+    return distance_lines(spark.read.text(path))
+
+
+def distance_lines(lines: DataFrame) -> DataFrame:
+    """(a, b, d), both ways, of lines (value)."""
     cells = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).select(cells[0].alias("a"), cells[1].alias("b"), cells[2].cast("double").alias("d"))
+    rows = lines.select(cells[0].alias("a"), cells[1].alias("b"), cells[2].cast("double").alias("d"))
     return rows.union(rows.select(F.col("b"), F.col("a"), "d"))

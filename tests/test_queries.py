@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+import sparkclade.plans.extended  # noqa: F401
 from sparkclade.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
