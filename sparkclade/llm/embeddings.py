@@ -238,7 +238,8 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, bloc
     coded = reps.mapInPandas(hashed, f"vec_id bigint, label {reps.schema['label'].dataType.simpleString()}, width int, weight bigint, embedding {kind}, code array<int>")
     coded = written(coded)
     # A bucket's rows are dealt to blocks by a hash of the id; how many blocks follows from its size.
-    spots = coded.select("vec_id", "label", "width", F.posexplode("code").alias("place", "bucket")).select("vec_id", "label", "width", F.expr(f"place div {PROBES}").cast("int").alias("table"), "bucket").distinct()
+    own = F.expr(f"explode(transform(sequence(0, {tables - 1}), t -> struct(t as table, array_distinct(slice(code, t * {PROBES} + 1, {PROBES})) as buckets)))").alias("t")
+    spots = coded.select("vec_id", "label", "width", own).select("vec_id", "label", "width", "t.table", F.explode("t.buckets").alias("bucket"))
     bucket = ["label", "width", "table", "bucket"]
     sizes = spots.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.expr(f"cast(ceil(n / {block}) as int)"))
     dealt = spots.join(sizes, bucket).withColumn("mine", F.expr("cast(pmod(xxhash64(vec_id, 5L), blocks) as int)"))
