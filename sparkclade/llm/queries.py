@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkclade.llm import bpe, embeddings, jaccard, langid, licenses, packing, quality_gbt, quality_rules, secrets, sharding
+from sparkclade.llm import bpe, embeddings, jaccard, langid, licenses, oracles, packing, quality_gbt, quality_rules, secrets, sharding
 from sparkclade.llm.common import table
 
 
@@ -72,11 +72,12 @@ def _op8_sql() -> str:
         SELECT doc_id, h.digest, license_id FROM hashed h LEFT JOIN known k ON h.digest = k.digest"""
 
 
-ORACLE_SQL = {"op8_license_scan": _op8_sql()}
+ORACLE_SQL = {"op4_secret_scan": oracles.secret_scan(), "op5_ngram_jaccard": oracles.ngram_jaccard(), "op6_quality_rules": oracles.quality(), "op8_license_scan": _op8_sql(), "op10_embedding_dedup": oracles.embedding_dedup()}
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    found = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 QUERIES["op6_quality_rules"] = op6_quality_rules

@@ -592,3 +592,50 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         common.scratch(Session())
+
+
+def _same_rows(df, con, sql):
+    want = con.sql(sql)
+    columns = sorted(df.columns)
+    assert columns == sorted(want.columns)
+    at = [want.columns.index(c) for c in columns]
+    show = lambda v: f"{v:.6f}" if isinstance(v, float) else str(v)
+    assert sorted(tuple(show(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(show(r[i]) for i in at) for r in want.fetchall())
+
+
+def _duck(**tables):
+    import duckdb
+
+    con = duckdb.connect()
+    for name, df in tables.items():
+        con.register(name, df.toArrow())
+    return con
+
+
+def test_secrets_and_quality_rules_against_sql_on_edge_cases(docs):
+    from sparkclade.llm.queries import ORACLE_SQL
+
+    con = _duck(documents=docs)
+    _same_rows(secrets.scan(docs), con, ORACLE_SQL["op4_secret_scan"])
+    judged = quality_rules.judge(docs).withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+    _same_rows(judged, con, ORACLE_SQL["op6_quality_rules"])
+
+
+@pytest.mark.parametrize("name", ["op4_secret_scan", "op5_ngram_jaccard", "op6_quality_rules", "op8_license_scan", "op10_embedding_dedup"])
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    from sparkclade.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    _same_rows(QUERIES[name](spark, "/root/testdata/sf0.001"), con, ORACLE_SQL[name])
+
+
+def test_common_words_are_those_of_the_corpus(spark):
+    rows = [(i, f"the cat{i} and the dog{i} of it", "en") for i in range(9)] + [(50 + i, f"кот{i} и пёс{i} на", "ru") for i in range(9)] + [(99, "zzz " * 500, "en"), (100, None, "en"), (101, "no language", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = quality_rules.common_words(docs)
+    assert {"the", "and", "of", "it", "и", "на"} <= set(found) and "no" not in found and "cat1" not in found
+    assert quality_rules.common_words(docs.where("false")) == [] and quality_rules.judge(docs, lang_col=None).count() == len(rows)
