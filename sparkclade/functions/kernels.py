@@ -369,6 +369,15 @@ def spanning_tree(d: np.ndarray) -> Edges:
     return edges
 
 
+def metric_repair(d: np.ndarray) -> np.ndarray:
+    """The largest metric below some distances: no path is shorter than its ends' distance."""
+    out = np.minimum(d, d.T).astype(float)
+    np.fill_diagonal(out, 0)
+    for k in range(len(out)):
+        out = np.minimum(out, out[:, [k]] + out[[k], :])
+    return out
+
+
 def linkage(sim: np.ndarray, how: str) -> Edges:
     """Agglomeration of the most similar clusters; single takes the largest, complete the least similarity, average the mean."""
     m = len(sim)

@@ -570,6 +570,37 @@ def hierarchical(patterns: np.ndarray, weight: np.ndarray, levels: list[int], ho
     return em(Forest(parent, table, d), patterns, weight, 100, 1e-2)[0]
 
 
+def refining(parent: list[int], levels: list[int], observed: int) -> Forest:
+    """A forest whose states tell their parents': a node's states are shared out evenly among its parent's."""
+    table = []
+    for i, p in enumerate(parent):
+        if p < 0:
+            table.append(np.full(levels[i], 1 / levels[i]))
+        else:
+            mine = np.arange(levels[i]) * levels[p] // levels[i] == np.arange(levels[p])[:, None]
+            table.append(mine / mine.sum(axis=1, keepdims=True))
+    return Forest(parent, table, observed)
+
+
+def coins(count: int) -> Forest:
+    """One hidden node that holds `count` coins, and a node for each coin that shows all coins but that one."""
+    states = np.arange(2**count)
+    tables = []
+    for k in reversed(range(count)):
+        shown = (states >> (k + 1) << k) | (states & ((1 << k) - 1))
+        tables.append(np.eye(2 ** (count - 1))[shown])
+    return Forest([count] * count + [-1], [*tables, np.full(2**count, 1 / 2**count)], count)
+
+
+#: Toy forests by name; nodes that are observed come first.
+TOYS = {
+    "binary_forest": lambda: refining([6, 5, 5, 7, 7, 6, -1, -1], [4, 8, 8, 4, 4, 4, 2, 2], 5),
+    "three_level_binary": lambda: refining([4, 4, 5, 5, 6, 6, -1], [8, 8, 8, 8, 4, 4, 2], 4),
+    "three_coins": lambda: coins(3),
+    "six_coins": lambda: coins(6),
+}
+
+
 #: Forests by name, as functions of patterns, how often each occurs, and the observed nodes' numbers of states.
 FORESTS = {
     "bin": pairing, "cl": chow_liu, "ind": independent, "lcm": one_latent,
@@ -614,10 +645,9 @@ def regularised_gaussian(correlation: np.ndarray, samples: int, inner) -> Edges:
 def consistent(relation: np.ndarray) -> tuple[bool, list[list[int]]]:
     """Whether 'is a sibling of' is a partition, and the groups taken greedily; too many groups are none."""
     m, left, groups = len(relation), list(range(len(relation))), []
-    ok = True
+    related = [[j for j in range(m) if relation[i, j] or j == i] for i in range(m)]
+    ok = all(relation[a, b] for mine in related for a in mine for b in mine if a != b)
     while left:
-        mine = [j for j in left if relation[left[0], j] or j == left[0]]
-        ok &= all(relation[a, b] for a in mine for b in mine if a != b)
-        groups.append(mine)
-        left = [j for j in left if j not in mine]
+        groups.append([j for j in left if j in related[left[0]]])
+        left = [j for j in left if j not in groups[-1]]
     return ok and len(groups) < m - 1, groups

@@ -57,13 +57,21 @@ def restrict(members: DataFrame, taxa: DataFrame) -> DataFrame:
 
 
 def patristic(tree: DataFrame) -> DataFrame:
-    """(tree_id, i, j, d, hops): path lengths; the last common ancestor is the one with fewest hops."""
+    """(tree_id, i, j, d, hops): path lengths between taxa.
+
+    Each pair is met once, where its paths to the root join: below two children of one node,
+    or, where inner nodes are taxa too, at one of the pair itself."""
     seen = stored(ancestors(tree))
-    x = seen.select("tree_id", "node", F.col("taxon").alias("i"), F.col("d").alias("di"), F.col("hops").alias("hi"))
-    y = seen.select("tree_id", "node", F.col("taxon").alias("j"), F.col("d").alias("dj"), F.col("hops").alias("hj"))
-    met = x.join(y, ["tree_id", "node"]).where("i < j")
-    best = met.groupBy("tree_id", "i", "j").agg(F.min(F.struct((F.col("hi") + F.col("hj")).alias("hops"), (F.col("di") + F.col("dj")).alias("d"))).alias("x"))
-    return best.select("tree_id", "i", "j", "x.d", "x.hops")
+    edges = tree.where("parent is not null").select("tree_id", "parent", "node", F.coalesce("length", F.lit(0.0)).alias("w"))
+    x, y = edges.select("tree_id", "parent", F.col("node").alias("c1"), F.col("w").alias("w1")), edges.select("tree_id", "parent", F.col("node").alias("c2"), F.col("w").alias("w2"))
+    joints = x.join(y, ["tree_id", "parent"]).where("c1 < c2").drop("parent")
+    left = seen.select("tree_id", F.col("node").alias("c1"), F.col("taxon").alias("a"), F.col("d").alias("d1"), F.col("hops").alias("h1"))
+    right = seen.select("tree_id", F.col("node").alias("c2"), F.col("taxon").alias("b"), F.col("d").alias("d2"), F.col("hops").alias("h2"))
+    apart = joints.join(left, ["tree_id", "c1"]).join(right, ["tree_id", "c2"])
+    apart = apart.select("tree_id", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), F.expr("d1 + w1 + w2 + d2").alias("d"), F.expr("h1 + h2 + 2").alias("hops"))
+    own = tree.where("taxon is not null").select("tree_id", "node", F.col("taxon").alias("b"))
+    above = seen.where("hops > 0").join(own, ["tree_id", "node"]).select("tree_id", F.least("taxon", "b").alias("i"), F.greatest("taxon", "b").alias("j"), "d", "hops")
+    return apart.unionByName(above)
 
 
 def cherries(tree: DataFrame) -> DataFrame:

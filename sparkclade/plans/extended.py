@@ -766,6 +766,93 @@ def regularised_grouping(spark, d):
     return _on_sample(spark, "kind string, has_hidden boolean, better boolean", run, length=0.15)
 
 
+@query("SELECT name, CAST(observed AS BIGINT) AS observed, true AS as_tables FROM (VALUES ('binary_forest', 5), ('three_level_binary', 4), ('three_coins', 3), ('six_coins', 6)) v(name, observed)")
+def toy_forests(spark, d):
+    """Toy data sets: states of 20,000 samples are as frequent as the tables say."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = pdf["name"].iloc[0]
+        f = L.TOYS[name]()
+        x = L.sampled(f, 20_000, np.random.default_rng(0))
+        close = all(np.abs(np.bincount(x[:, i], minlength=len(p)) / len(x) - p).max() < 0.02 for i, p in enumerate(L.marginals(f)))
+        return pd.DataFrame({"name": [name], "observed": [f.observed], "as_tables": [bool(close)]})
+
+    return spark.createDataFrame([(k,) for k in L.TOYS], "name string").groupBy("name").applyInPandas(run, "name string, observed bigint, as_tables boolean")
+
+
+@query("SELECT CAST(taxon AS BIGINT) AS taxon, CAST(state AS BIGINT) AS state, CAST(n AS BIGINT) AS n FROM (VALUES (0, 0, 3), (0, 1, 2), (1, 0, 1), (1, 1, 4)) v(taxon, state, n)")
+def frequency_samples(spark, d):
+    """Rows of states with a frequency, as samples."""
+    lines = spark.sql("SELECT pos AS ix, col AS value FROM (SELECT posexplode(array('% states, how often', '0 1 3', '1 0 1', '1 1 1', '0 0 0')))")
+    return results.expanded(results.frequency_rows(lines), 2).groupBy("taxon", F.col("state").cast("long").alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(i AS BIGINT) AS i, round(CAST(e AS DOUBLE), 6) AS e FROM (VALUES (0, 0.3), (1, 0.5), (2, 0.9)) v(i, e)")
+def hidden_child_distances(spark, d):
+    """A family of three, and two taxa beyond their hidden parent: lengths of its edges."""
+    dist = K.patristic([(0, 5, 0.3), (1, 5, 0.5), (2, 5, 0.9), (5, 6, 0.4), (3, 6, 0.6), (4, 6, 0.7)], 5)
+    three = L.child_edges(dist, [0, 1, 2])
+    return ids(spark.createDataFrame([(i, float(e)) for i, e in enumerate(three)], "i long, e double"))
+
+
+@query("SELECT name, ok, CAST(n AS BIGINT) AS n FROM (VALUES ('pairs', true, 2), ('chain', false, 2), ('all', true, 1)) v(name, ok, n)")
+def consistency_check(spark, d):
+    """Whether a relation between siblings is a partition."""
+    eye = np.eye(4, dtype=bool)
+    rel = {"pairs": [(0, 1), (2, 3)], "chain": [(0, 1), (1, 2), (2, 3)], "all": [(a, b) for a in range(4) for b in range(a)]}
+    out = []
+    for name, pairs in rel.items():
+        m = eye.copy()
+        for a, b in pairs:
+            m[a, b] = m[b, a] = True
+        ok, groups = L.consistent(m)
+        out.append((name, bool(ok), len(groups)))
+    return spark.createDataFrame(out, "name string, ok boolean, n long")
+
+
+@query(LAB2 + Q.CONF + " SELECT i, j, a, b, cnt FROM conf")
+def conf_by_columns(spark, d):
+    """Joint counts from whole site columns, as a stream of them gives."""
+    from sparkclade.streaming.incremental import conf_stream
+
+    columns = Q.lab2(spark, d).groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("taxon", "state"))).alias("states"))
+    return ids(conf_stream(columns))
+
+
+@query(LAB4 + Q.HAM + f", d AS (SELECT i, j, h FROM ham UNION ALL SELECT j, i, h FROM ham UNION ALL SELECT DISTINCT taxon, taxon, CAST(0 AS DOUBLE) FROM sites) SELECT i, j, {rds('min(s)')} AS d FROM (SELECT x.i, y.j, x.h * x.h + y.h * y.h AS s FROM d x JOIN d y ON x.j = y.i WHERE x.i < y.j) GROUP BY 1, 2")
+def metric_repair(spark, d):
+    """Squared Hamming distances break the triangle inequality; the largest metric below them is that of shortest paths (of two steps here)."""
+    h = C.hamming(C.conf(Q.lab4(spark, d))).select(F.lit("all").alias("tree_id"), "i", "j", (F.col("h") * F.col("h")).alias("s"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        full = R.dense(pdf, own=0.0)
+        two = np.minimum(full, (full[:, :, None] + full[None, :, :]).min(axis=1))
+        best = K.metric_repair(full)
+        if not np.allclose(np.minimum(two, best), best):
+            raise ValueError("a shortest path longer than one of two steps")
+        i, j = np.triu_indices(len(full), 1)
+        return pd.DataFrame({"i": i, "j": j, "d": two[i, j]})
+
+    return ids(h.groupBy("tree_id").applyInPandas(run, "i bigint, j bigint, d double"))
+
+
+@query("SELECT true AS better, true AS same_tree")
+def ml_from_start_tree(spark, d):
+    """A climb from a poor start tree ends at the generating tree, with a higher likelihood."""
+
+    def run(x: np.ndarray) -> pd.DataFrame:
+        x = x[:, :6]
+        patterns, weight = np.unique(x, axis=0, return_counts=True)
+        start = K.rooted(K.random_topology(6, np.random.default_rng(5), 0.1), 8)
+        model = models.JukesCantor(2)
+        before = K.tree_log_likelihood(K.rooted(start, 8), patterns, weight.astype(float), model)
+        edges, after = K.likelihood_search(patterns, weight.astype(float), model, start)
+        truth = {frozenset((2, 3)), frozenset((4, 5)), frozenset((2, 3, 4, 5))}
+        return pd.DataFrame({"better": [bool(after > before)], "same_tree": [K.splits(edges, 6) == truth]})
+
+    return _on_sample(spark, "better boolean, same_tree boolean", run)
+
+
 @query("SELECT true AS same")
 def reproduce_result(spark, d):
     """A result of a grid, computed again by itself, is the same but for its run time."""

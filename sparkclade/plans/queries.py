@@ -687,7 +687,7 @@ def ml_interchange_search(spark, d):
     return M.sequences(_trials(spark, "balanced").where("trial > 0").withColumn("n", F.lit(1500))).groupBy("trial").applyInPandas(run, "tree_id string, split string")
 
 
-@query()
+@query("SELECT split FROM (VALUES ('2,3'), ('4,5'), ('6,7'), ('4,5,6,7'), ('2,3,4,5,6,7')) v(split)")
 def treesvd(spark, d):
     import pandas as pd
 

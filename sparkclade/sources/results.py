@@ -90,3 +90,11 @@ def frequency_rows(lines: DataFrame) -> DataFrame:
     kept = lines.where(~F.trim("value").startswith("%") & (F.trim("value") != ""))
     cells = F.split(F.trim(F.regexp_replace("value", "%.*", "")), r"[\s,;]+")
     return kept.select(F.col("ix").alias("row"), F.posexplode(cells).alias("col", "v")).select("row", F.col("col").cast("long").alias("col"), F.col("v").cast("double").alias("v"))
+
+
+def expanded(rows: DataFrame, frequency: int) -> DataFrame:
+    """Frequency rows (row, col, v) as samples (site, taxon, state): a row as often as its column `frequency` says."""
+    states = rows.where(F.col("col") < frequency).select("row", F.col("col").alias("taxon"), F.col("v").cast("int").alias("state"))
+    often = rows.where(F.col("col") == frequency).select("row", F.col("v").cast("long").alias("n"))
+    copies = often.where("n > 0").select("row", F.explode(F.expr("sequence(1L, n)")).alias("copy"))
+    return copies.join(states, "row").select(F.concat_ws("/", "row", "copy").alias("site"), "taxon", "state")
