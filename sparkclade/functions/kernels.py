@@ -109,6 +109,51 @@ def second_singulars(blocks: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(np.linalg.eigvalsh(flat @ flat.transpose(0, 2, 1))[:, -2], 0))
 
 
+def with_each(s: np.ndarray, clade: list[int], others: np.ndarray) -> np.ndarray:
+    """Second singular values of S[A, not A] for the unions A of a clade with each of some single taxa.
+
+    All these blocks are one block B = S[clade, rest] with a column turned into a row, so one
+    eigendecomposition serves them all: how many squared singular values lie above x follows from
+    inertia, in time linear in the block's side, and the second is halved in on."""
+    m = len(s)
+    inside = np.zeros(m, dtype=bool)
+    inside[clade] = True
+    rest = np.flatnonzero(~inside)
+    place = np.full(m, -1)
+    place[rest] = np.arange(len(rest))
+    at, b = place[others], s[np.ix_(clade, rest)]
+    rows = s[np.ix_(others, rest)].copy()
+    # A taxon's own column is gone from its row.
+    rows[np.arange(len(others)), at] = 0
+    wide = len(clade) <= len(rest)
+    values, vectors = np.linalg.eigh(b @ b.T if wide else b.T @ b)
+    if wide:
+        lost, gained, own = b[:, at].T @ vectors, rows @ b.T @ vectors, (rows**2).sum(axis=1)
+    else:
+        unit, gained = vectors[at], rows @ vectors
+    low, high = np.zeros(len(others)), np.full(len(others), values[-1] + (rows**2).sum(axis=1).max() + 1e-300)
+
+    def above(x: np.ndarray) -> np.ndarray:
+        """How many squared singular values lie above x, for each block."""
+        gap = values[None, :] - x[:, None]
+        gap[gap == 0] = 1e-300
+        count = (gap > 0).sum(axis=1)
+        if wide:
+            # Bordered by the row, less the column: two further pivots beyond the known ones, of which one is the column's.
+            p, q, r = 1 - (lost**2 / gap).sum(axis=1), own - x - (gained**2 / gap).sum(axis=1), -(lost * gained / gap).sum(axis=1)
+            det = p * q - r * r
+            return count + np.where(det < 0, 1, np.where(p + q > 0, 2, 0)) - 1
+        # The row's square is added; then the taxon's row and column are taken out.
+        f, g, h = (unit**2 / gap).sum(axis=1), (unit * gained / gap).sum(axis=1), 1 + (gained**2 / gap).sum(axis=1)
+        return count + (h < 0) - (f - g * g / np.where(h == 0, 1e-300, h) > 0)
+
+    for _ in range(60):
+        middle = (low + high) / 2
+        enough = above(middle) >= 2
+        low, high = np.where(enough, middle, low), np.where(enough, high, middle)
+    return np.sqrt((low + high) / 2)
+
+
 def agglomerate(m: int, score=None, score_many=None, pairs=None) -> Edges:
     """Joins the clades whose union has the least score, until three are left.
 
@@ -160,6 +205,9 @@ def spectral_joining(s: np.ndarray, scorer=None, alpha: float = 1.0, pair_scorer
         out, sizes = np.zeros(len(others)), np.array([len(b) for b in others])
         for size in np.unique(sizes):
             rows = np.flatnonzero(sizes == size)
+            if size == 1 and DIRECT < len(a) < m - 1 - DIRECT:
+                out[rows] = with_each(s, sorted(a), np.array([next(iter(others[r])) for r in rows]))
+                continue
             step = max(1, 4_000_000 // (m * (len(a) + int(size))))
             for k in range(0, len(rows), step):
                 out[rows[k : k + step]] = second_singulars(np.stack([block(a | others[r]) for r in rows[k : k + step]]))

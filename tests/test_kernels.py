@@ -95,6 +95,30 @@ def test_scorers_by_definition():
     assert np.allclose(K.second_singulars(np.random.default_rng(0).random((3, 20, 30))), [K.second_singular(b) for b in np.random.default_rng(0).random((3, 20, 30))])
 
 
+@pytest.mark.parametrize("m, a", [(40, 18), (50, 33), (70, 35)])
+def test_scores_of_unions_with_each_taxon_are_those_of_the_blocks(m, a):
+    rng = np.random.default_rng(m)
+    x = rng.random((m, m))
+    s, clade = np.exp(-x - x.T), sorted(rng.choice(m, a, replace=False).tolist())
+    others = np.array([k for k in range(m) if k not in clade])
+    want = [K.second_singular(s[np.ix_(sorted([*clade, k]), [j for j in others if j != k])]) for k in others]
+    assert np.allclose(K.with_each(s, clade, others), want, atol=1e-9)
+    # Of a clade of an exact tree the union with the next taxon has rank one.
+    s = np.exp(-K.patristic(M.tree_edges("caterpillar", m, 0.1, rng), m))
+    found = K.with_each(s, list(range(m - a, m)), np.arange(m - a))
+    assert np.argmin(found) == m - a - 1 and found[m - a - 1] < 1e-6
+
+
+def test_metric_repair_against_shortest_paths():
+    rng = np.random.default_rng(3)
+    d = rng.random((7, 7)) ** 3
+    got, want = K.metric_repair(d), np.minimum(d, d.T)
+    np.fill_diagonal(want, 0)
+    for _ in range(7):
+        want = np.minimum(want, (want[:, :, None] + want[None]).min(axis=1))
+    assert np.allclose(got, want)
+
+
 def test_own_scorers_and_metrics_can_be_registered():
     s, truth = similarity("balanced", 8, 0.1, 6000, 5)
     R.register_scorer("mine", lambda block: K.second_singular(block) * 2)
