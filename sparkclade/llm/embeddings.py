@@ -135,15 +135,21 @@ def _near(x: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray,
 
 
 def _first_meeting(a, b, code, table, bucket) -> np.ndarray:
-    """Which pairs of rows share no bucket of an earlier table, and no lower one of this table."""
+    """Which pairs of rows share no bucket of an earlier table, and no lower one of this table.
+
+    Tables are looked at in turn, each only for the pairs that have not met yet: near copies meet in the first."""
     first = np.ones(len(a), dtype=bool)
-    place = np.arange(code.shape[1])[None, :, None]
-    for at in range(0, len(a), AT_ONCE):
-        some = slice(at, at + AT_ONCE)
-        p, q = code[a[some]], code[b[some]]
-        t, v = table[a[some], None, None], bucket[a[some], None, None]
-        before = (place < t) | ((place == t) & (p < v))
-        first[some] = ~((p[:, :, :, None] == q[:, :, None, :]) & before[:, :, :, None]).any(axis=(1, 2, 3))
+    for start in range(0, len(a), AT_ONCE):
+        rest = np.arange(start, min(start + AT_ONCE, len(a)))
+        for t in range(code.shape[1]):
+            p, q = code[a[rest], t], code[b[rest], t]
+            same, at = p[:, :, None] == q[:, None, :], table[a[rest]]
+            lower = same & (p < bucket[a[rest], None])[:, :, None]
+            met = np.where(at > t, same.any(axis=(1, 2)), lower.any(axis=(1, 2)))
+            first[rest[met]] = False
+            rest = rest[~met & (at > t)]
+            if not len(rest):
+                break
     return first
 
 
