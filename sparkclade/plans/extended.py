@@ -527,22 +527,22 @@ for _args in [
     _recovery(*_args)
 
 
-def _published(method: str):
-    """The setting of the published caterpillar benchmark: m = 512, n = 400, HKY with kappa 2, edges of 0.05; its normalised RF."""
+def _published(name: str, kind: str, m: int, n: int, length: float, method: str):
+    """A setting of the published benchmarks (HKY, kappa 2): how far the tree found is from the generating one."""
 
     def run(spark, d):
-        one = spark.createDataFrame([(1, "caterpillar", 512, 400, 0.05, "hky2", 0.0, method, "hky")], "trial long, kind string, m long, n long, length double, model string, shape double, method string, metric string")
-        found = G.reconstructed(one).select("split")
-        true = spark.range(2, 511).select(F.array_join(F.sequence(F.col("id"), F.lit(511).cast("long")), ",").alias("split"))
-        # Both are binary trees of 509 inner edges.
-        return found.join(true, "split", "full_outer").agg(F.lit(method).alias("method"), (F.count("*") * 2 - 2 * 509).alias("rf"))
+        one = spark.createDataFrame([(1, kind, m, n, length, "hky2", 0.0, 1)], "trial long, kind string, m long, n long, length double, model string, shape double, rep int")
+        return G.results_of(one, [n], [method], "hky").select("method", "n", "rf", (F.col("rf") / (2 * m - 6)).alias("nrf"))
 
-    run.__name__ = f"{method.removesuffix('_64')}_caterpillar512"
+    run.__name__ = name
     return query()(run)
 
 
-for _name in ("nj", "stdr_nj_64", "stdr_snj_64", "snj"):
-    _published(_name)
+for _args in [
+    ("nj_caterpillar512", "caterpillar", 512, 400, 0.05, "nj"), ("stdr_nj_caterpillar512", "caterpillar", 512, 400, 0.05, "stdr_nj_64"), ("stdr_snj_caterpillar512", "caterpillar", 512, 400, 0.05, "stdr_snj_64"), ("snj_caterpillar512", "caterpillar", 512, 400, 0.05, "snj"),
+    ("stdr_nj_balanced2048", "balanced", 2048, 1000, 0.1, "stdr_nj_128"), ("stdr_snj_balanced2048", "balanced", 2048, 1000, 0.1, "stdr_snj_128"), ("stdr_nj_kingman2000", "kingman", 2000, 2000, 0.4, "stdr_nj_128"), ("stdr_snj_kingman2000", "kingman", 2000, 2000, 0.4, "stdr_snj_128"),
+]:
+    _published(*_args)
 
 
 @query("SELECT scorer, r.tree_id, CAST(count(*) AS BIGINT) AS right_splits FROM (VALUES " + ", ".join(f"('{n}')" for n in ("second", "rest", "rest_squares", "minors", "root_rest_squares", "max_quartet", "squared_quartets")) + ") v(scorer), (" + REFS + " SELECT tree_id, split FROM rs WHERE tree_id IN ('balanced8', 'six')) r GROUP BY 1, 2")
