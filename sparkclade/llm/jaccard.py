@@ -396,12 +396,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def _behind(checked: DataFrame, sets: DataFrame, linked: str) -> DataFrame:
     """Links of sets that are not linked to the centre they are tied to, with the others of that centre."""
     tied = checked.where("tie")
-    loose = tied.where(f"not ({linked})").select("b", "a")
-    counts = loose.groupBy("b").agg(F.count("*").alias("c")).withColumn("rows", F.expr(f"cast(ceil(c / {BLOCK}) as int)"))
-    around = tied.join(counts, "b").select("b", "a", "rows")
-    sizes = around.groupBy("b").agg(F.count("*").alias("c")).select("b", F.expr(f"cast(ceil(c / {BLOCK}) as int)").alias("cols"))
+    blocks = "cast(ceil({0} / %d) as int)" % BLOCK
+    hubs = written(tied.groupBy("b").agg(F.count("*").alias("every"), F.sum(F.expr(f"if({linked}, 0, 1)")).alias("loose")).where("loose > 0").selectExpr("b", f"{blocks.format('loose')} as rows", f"{blocks.format('every')} as cols"))
+    # A row for each centre that has such sets; where they are few, no set is dealt by its centre.
+    known = small(hubs)
     mine = "cast(pmod(xxhash64(a, 3L), {0}) as int)"
-    left = loose.join(counts.select("b", "rows"), "b").join(sizes, "b").select("b", F.col("a").alias("id"), F.expr(mine.format("rows")).alias("r"), F.explode(F.expr("sequence(0, cols - 1)")).alias("c"), F.lit(0).alias("side"))
-    right = around.join(sizes, "b").select("b", F.col("a").alias("id"), F.explode(F.expr("sequence(0, rows - 1)")).alias("r"), F.expr(mine.format("cols")).alias("c"), F.lit(1).alias("side"))
+    left = tied.where(f"not ({linked})").join(known, "b").select("b", F.col("a").alias("id"), F.expr(mine.format("rows")).alias("r"), F.explode(F.expr("sequence(0, cols - 1)")).alias("c"), F.lit(0).alias("side"))
+    right = tied.join(known, "b").select("b", F.col("a").alias("id"), F.explode(F.expr("sequence(0, rows - 1)")).alias("r"), F.expr(mine.format("cols")).alias("c"), F.lit(1).alias("side"))
     sent = left.unionByName(right).join(sets, "id")
     return sent.groupBy("b", "r", "c").applyInPandas(_forest, "a bigint, b bigint")
