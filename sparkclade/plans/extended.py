@@ -258,7 +258,7 @@ def deep_clades(spark, d):
     return T.clades(T.caterpillar(spark, 512, 0.5)).groupBy("node").agg(F.count("*").alias("n"), F.min("taxon").alias("low"))
 
 
-@query("SELECT i, sum(least(j, 510) - least(i, 510) + 2 - CASE WHEN i = 510 THEN 0 ELSE 0 END) AS hops FROM (SELECT unnest(range(512)) AS i), (SELECT unnest(range(512)) AS j) WHERE i < j GROUP BY 1")
+@query("SELECT i, CAST(sum(least(j, 510) - least(i, 510) + 2) AS BIGINT) AS hops FROM (SELECT unnest(range(512)) AS i), (SELECT unnest(range(512)) AS j) WHERE i < j GROUP BY 1")
 def deep_patristic(spark, d):
     """Between leaves i < j of a caterpillar of 512: up from i, along the spine, down to j."""
     return T.patristic(T.caterpillar(spark, 512, 0.5)).groupBy("i").agg(F.sum("hops").cast("long").alias("hops"))
