@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkclade.llm.common import kept
+
 #: Entries that the caches of a Python worker may hold: some 100 MB.
 CACHE = 300_000
 STATES = 250_000
@@ -425,12 +427,10 @@ class ChunkCoder:
         return [b"".join([known[c] for c in cut]) for cut in cuts]
 
 
-_CODERS: dict = {}
-
-
 def coder(path: str, pattern: str) -> tuple[ChunkCoder, Decoder]:
     """Made once in a Python worker."""
-    if (path, pattern) not in _CODERS:
+
+    def make() -> tuple[ChunkCoder, Decoder]:
         import regex
 
         ranks = read_ranks(path)
@@ -443,8 +443,9 @@ def coder(path: str, pattern: str) -> tuple[ChunkCoder, Decoder]:
             raw = ids.tobytes()
             return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
-        _CODERS[path, pattern] = ChunkCoder(encode), Decoder(ranks)
-    return _CODERS[path, pattern]
+        return ChunkCoder(encode), Decoder(ranks)
+
+    return kept(("bpe", path, pattern), make)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -67,6 +67,21 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What an operator keeps in a Python worker from task to task: one thing at a time, so that another's cache is let go."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    _KEPT.clear()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many marks as it needs to differ from df's columns and from those before it."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -113,4 +128,4 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct()) if state[0] else spark.createDataFrame([], "node bigint, root bigint")
 
 
-__all__ = ["BROADCAST_ROWS", "components", "fresh", "released", "remove", "scratch", "sent", "small", "table", "written"]
+__all__ = ["BROADCAST_ROWS", "components", "fresh", "kept", "let_go", "released", "remove", "scratch", "sent", "small", "table", "written"]

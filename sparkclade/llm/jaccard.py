@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkclade.llm.bpe import parts
-from sparkclade.llm.common import components, sent, small, written
+from sparkclade.llm.common import components, let_go, sent, small, written
 from sparkclade.llm.shingles import SEGMENT, mix, shingle_sets
 
 #: Similarity threshold as a fraction of integers.
@@ -92,6 +92,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Rows with a cell_row are compressed rows of the sketch."""
 
     def run(batches):
+        let_go()
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for batch in batches:
             for part in parts(batch, 1, SEGMENT):

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkclade.llm.bpe import CACHE, parts, read_ranks
+from sparkclade.llm.common import kept as kept_in_worker
 from sparkclade.llm.common import sent, written
 
 WORD = re.compile(r"[^\W\d_]{1,16}")
@@ -254,9 +255,6 @@ def train(docs: DataFrame, learn: Column, vocabulary: str, limit: int = SAMPLE_B
     return model
 
 
-_SCORERS: dict = {}
-
-
 def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", added: tuple[str, str, str] = ("lang_pred", "score", "margin")) -> DataFrame:
     """docs' columns with lang_pred, its probability, and its margin; only the text is looked at.
 
@@ -268,10 +266,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "
     def run(batches):
         import pyarrow as pa
 
-        if model_sent not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[model_sent] = Scorer(model_sent.value)
-        scorer, languages = _SCORERS[model_sent], model_sent.value.languages
+        scorer, languages = kept_in_worker(("langid", model_sent), lambda: Scorer(model_sent.value)), model_sent.value.languages
         for batch in batches:
             for part in parts(batch, batch.num_columns - 1):
                 langs, scores, margins = [], [], []

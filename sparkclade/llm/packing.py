@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkclade.llm.bpe import ChunkCoder, parts
-from sparkclade.llm.common import written
+from sparkclade.llm.common import kept, written
 
 WINDOW = 1024
 #: Windows that a partition keeps open.
@@ -35,9 +35,6 @@ MERGE = 20_000
 #: Above all sequence ids of the first round.
 MERGED = 1 << 62
 
-_CODERS: dict = {}
-
-
 def ranks_of(path: str) -> tuple[dict[bytes, int], list[str]] | None:
     """Token bytes and ids of a byte-level tokenizer file whose ids are in the order of its merges."""
     with open(path, encoding="utf-8") as f:
@@ -58,7 +55,8 @@ def coder(path: str):
 
     Chunks that the cache lacks are encoded together, by the same merges, with a library
     that is faster than the tokenizer's own; where the file isn't of that kind, by its own."""
-    if path not in _CODERS:
+
+    def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         import public_tokenizers
@@ -72,8 +70,7 @@ def coder(path: str):
 
         found = ranks_of(path)
         if found is None:
-            _CODERS[path] = ChunkCoder(whole), whole, None
-            return _CODERS[path]
+            return ChunkCoder(whole), whole, None
         ranks, special = found
         same = tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         width = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
@@ -97,8 +94,9 @@ def coder(path: str):
                     at = end
             return out
 
-        _CODERS[path] = ChunkCoder(together), whole, special
-    return _CODERS[path]
+        return ChunkCoder(together), whole, special
+
+    return kept(("packing", path), make)
 
 
 def token_bytes(path: str, texts: list[str]) -> list[bytes]:
