@@ -44,6 +44,8 @@ SHARE, WHOLE = 3, 4
 SKETCH_BITS = 23
 #: Cells in a row of the sketch table.
 SKETCH_ROW = 1 << 18
+#: Parts of the sketch that one task adds up; more are added in rounds.
+FAN = 64
 #: Groups sharing a shingle that are paired; where more do, they are tied to a centre.
 PAIRED = 12
 #: A shingle whose cell counts more than this is dealt to several tasks.
@@ -105,15 +107,16 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.nulls(len(sets), pa.int32()), pa.array([histogram(s) for s in sets], pa.binary())],
                     names=["id", "n", "print1", "print2", "cell_row", "counts"],
                 )
-        blocks = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(-1, SKETCH_ROW)]
+        # A task without shingles has nothing to add.
+        blocks = {i: zlib.compress(x.tobytes(), 1) for i, x in enumerate(sketch.reshape(-1, SKETCH_ROW)) if x.any()}
         none = pa.nulls(len(blocks), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=["id", "n", "print1", "print2", "cell_row", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(list(blocks), pa.int32()), pa.array(list(blocks.values()), pa.binary())], names=["id", "n", "print1", "print2", "cell_row", "counts"])
 
     return docs.select(id_col, text_col).mapInArrow(run, "id bigint, n bigint, print1 bigint, print2 bigint, cell_row int, counts binary")
 
 
 def _sketch(scanned: DataFrame) -> tuple[np.ndarray, float]:
-    """The sum of all parts: the driver gets as many bytes as the sketch has, whatever the input."""
+    """The sum of all parts, in rounds of about FAN: the driver gets as many bytes as the sketch has, whatever the input."""
 
     def add(pdf):
         total = np.zeros(SKETCH_ROW, dtype=np.int64)
@@ -122,10 +125,14 @@ def _sketch(scanned: DataFrame) -> tuple[np.ndarray, float]:
         capped = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
         return pd.DataFrame({"cell_row": pdf["cell_row"].iloc[:1], "counts": [zlib.compress(capped.tobytes(), 1)]})
 
-    salted = scanned.where("cell_row is not null").select("cell_row", "counts").withColumn("salt", F.expr("cast(pmod(xxhash64(counts), 32) as int)"))
     schema = "cell_row int, counts binary"
+    left = scanned.where("cell_row is not null").select("cell_row", "counts")
+    most = left.groupBy("cell_row").count().agg(F.max("count")).first()[0] or 0
+    while most > FAN:
+        most = -(-most // FAN)
+        left = left.withColumn("salt", F.expr(f"cast(pmod(xxhash64(counts), {most}L) as int)")).groupBy("cell_row", "salt").applyInPandas(lambda pdf: add(pdf), schema)
     out = np.zeros(((1 << SKETCH_BITS) // SKETCH_ROW, SKETCH_ROW), dtype=np.uint32)
-    for r in salted.groupBy("cell_row", "salt").applyInPandas(lambda pdf: add(pdf), schema).groupBy("cell_row").applyInPandas(add, schema).collect():
+    for r in left.groupBy("cell_row").applyInPandas(lambda pdf: add(pdf), schema).collect():
         out[r["cell_row"]] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint32)
     return ranks(out.ravel())
 

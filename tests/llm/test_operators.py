@@ -460,6 +460,22 @@ def test_histograms_never_exclude_a_link():
     assert not jaccard.possible(np.array([1000]), np.array([1000]), [jaccard.histogram(x[4])], [jaccard.histogram(np.unique(rng.integers(0, 2**64, 1000, dtype=np.uint64)))])[0]
 
 
+def test_sketch_is_the_sum_of_many_parts(spark, monkeypatch):
+    texts = [(i, None if i % 7 == 0 else " ".join(f"w{(i * j) % 23}" for j in range(40))) for i in range(60)]
+    monkeypatch.setattr(jaccard, "FAN", 3)
+    taken = []
+    monkeypatch.setattr(jaccard, "ranks", lambda counts: taken.append(counts))
+    scanned = jaccard.written(jaccard._scan(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(20), "doc_id", "text"))
+    assert scanned.where("cell_row = 0").count() > 9  # more than two rounds of three
+    jaccard._sketch(scanned)
+    want = np.zeros(1 << jaccard.SKETCH_BITS, dtype=np.uint32)
+    for _, text in texts:
+        np.add.at(want, jaccard.cells(shingle_sets([(text or "").encode()])[0]), 1)
+    assert (taken[0] == want).all() and want.sum()
+    jaccard._sketch(scanned.where("false"))
+    assert not taken[1].any()
+
+
 def test_median_without_a_copy():
     rng = np.random.default_rng(1)
     for n in (1, 2, 7, 1000):
