@@ -8,10 +8,17 @@ taxa, summed over chunks of sites.
 
 from __future__ import annotations
 
-import pandas as pd
+import io
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkclade.storage import stored
+
 
 def pairs(sites: DataFrame, diagonal: bool = False) -> DataFrame:
     """(i, j, site, a, b) for i < j (or i <= j) at sites that both have."""
@@ -24,69 +31,157 @@ def conf(sites: DataFrame, diagonal: bool = False) -> DataFrame:
     return pairs(sites, diagonal).groupBy("i", "j", "a", "b").agg(F.count("*").alias("cnt"))
 
 
-def conf_blocked(sites: DataFrame, states: int, block: int = 256, chunk: int = 4096) -> DataFrame:
+def conf_blocked(sites: DataFrame, states: int, block: int = 512, chunk: int = 1024) -> DataFrame:
     """conf() without a row for each site and pair: blocks of taxa meet chunk by chunk of sites."""
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        taxa, row = np.unique(pdf["taxon"], return_inverse=True)
-        places, col = np.unique(pdf["site"], return_inverse=True)
-        hot = np.zeros((states, len(taxa), len(places)), dtype=np.float32)
-        hot[pdf["state"].to_numpy(), row, col] = 1
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        found = []
-        for a in range(states):
-            for b in range(states):
-                g = np.rint(hot[a] @ hot[b].T).astype(np.int64)
-                x, y = np.nonzero(g)
-                fits = (taxa[x] < taxa[y]) & (taxa[x] // block == lo) & (taxa[y] // block == hi)
-                x, y = x[fits], y[fits]
-                found.append(pd.DataFrame({"i": taxa[x], "j": taxa[y], "a": a, "b": b, "cnt": g[x, y]}))
-        return pd.concat(found, ignore_index=True)
-
-    done = _block_pairs(sites, block, chunk).groupBy("lo", "hi", "chunk").applyInPandas(product, "i int, j int, a int, b int, cnt bigint")
-    return done.groupBy("i", "j", "a", "b").agg(F.sum("cnt").alias("cnt"))
-
-
-def _block_pairs(sites: DataFrame, block: int, chunk: int) -> DataFrame:
-    """Rows of sites for each pair (lo, hi) of blocks of taxa that theirs is part of."""
-    at = sites.select("taxon", "site", "state").withColumn("blk", F.expr(f"taxon div {block}")).withColumn("chunk", F.expr(f"site div {chunk}"))
-    blocks = at.select("blk").distinct().agg(F.sort_array(F.collect_set("blk")).alias("all"))
-    spread = F.explode(F.expr("transform(all, o -> struct(least(o, blk) as lo, greatest(o, blk) as hi))")).alias("p")
-    return at.join(F.broadcast(blocks)).select("taxon", "site", "state", "chunk", spread).select("taxon", "site", "state", "chunk", "p.lo", "p.hi")
-
-
-def mismatches(sites: DataFrame, block: int = 512, chunk: int = 4096) -> DataFrame:
+
+    def product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.stack([x @ y.T for x in left for y in right])
+
+    def lists(tables: np.ndarray) -> list[np.ndarray]:
+        return [tables.astype(np.int64).transpose(1, 2, 0)]  # by i, j and then a, b
+
+    met = _meet(sites, block, chunk, product, lists, "cnt array<bigint>", lambda state: list(range(states)))
+    at = met.select("i", "js", F.posexplode("cnt").alias("at", "cnt")).where("cnt > 0")
+    return at.selectExpr("i", f"js[cast(at div {states * states} as int)] AS j", f"cast(at div {states} as int) % {states} AS a", f"at % {states} AS b", "cnt")
+
+
+def shared_sites(sites: DataFrame, block: int = 2048, chunk: int = 1024) -> DataFrame:
+    """(i, j, n): valid_pairs() of conf(), by blocks."""
+    met = _meet(sites, block, chunk, lambda left, right: (left[0] @ right[0].T)[None], lambda tables: [tables[0].astype(np.int64)], "n array<bigint>", None)
+    return met.select("i", "js", F.posexplode("n").alias("at", "n")).selectExpr("i", "js[at] AS j", "n")
+
+
+def mismatches(sites: DataFrame, block: int = 2048, chunk: int = 1024) -> DataFrame:
     """(i, j, n, diff) for i < j: sites that both have, and those of them that differ.
 
     Blocks of taxa meet as one-hot products, so no row is made for a site and pair."""
-
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        taxa, row = np.unique(pdf["taxon"].to_numpy(), return_inverse=True)
-        places, col = np.unique(pdf["site"].to_numpy(), return_inverse=True)
-        state = pdf["state"].to_numpy()
-        x = np.full((len(taxa), len(places)), -1, dtype=np.int64)
-        x[row, col] = state
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        left, right = np.flatnonzero(taxa // block == lo), np.flatnonzero(taxa // block == hi)
-        there = (x >= 0).astype(np.float32)
-        n = np.rint(there[left] @ there[right].T).astype(np.int64)
-        same = np.zeros(n.shape, dtype=np.int64)
-        for a in np.unique(state):
-            hot = (x == a).astype(np.float32)
-            same += np.rint(hot[left] @ hot[right].T).astype(np.int64)
-        i, j = np.nonzero((taxa[left][:, None] < taxa[right][None, :]) & (n > 0))
-        return pd.DataFrame({"i": taxa[left][i], "j": taxa[right][j], "n": n[i, j], "diff": (n - same)[i, j]})
-
-    done = _block_pairs(sites, block, chunk).groupBy("lo", "hi", "chunk").applyInPandas(product, "i int, j int, n bigint, diff bigint")
-    return done.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("diff").alias("diff"))
-
-
-def hamming_blocked(sites: DataFrame, block: int = 512, chunk: int = 4096) -> DataFrame:
-    """(i, j, h): hamming() of conf(), by mismatches()."""
-    return mismatches(sites, block, chunk).select("i", "j", (F.col("diff") / F.col("n")).alias("h"))
+    met = _meet(sites, block, chunk, _shared_and_different, lambda tables: [*tables.astype(np.int64)], "n array<bigint>, diff array<bigint>", np.unique)
+    return met.select("i", "js", "diff", F.posexplode("n").alias("at", "n")).selectExpr("i", "js[at] AS j", "n", "diff[at] AS diff")
+
+
+def pair_scores(sites: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 2048, chunk: int = 1024) -> DataFrame:
+    """(i, j, s): score(n, diff) of mismatches(), worked out once for each n and diff that a pair of blocks has."""
+
+    def lists(tables: np.ndarray) -> list[np.ndarray]:
+        n, diff = tables.astype(np.int64)
+        width = int(n.max()) + 1
+        key = n * width + diff
+        if width <= 1024:
+            seen = np.zeros(width * width, dtype=bool)
+            seen[key] = True
+            found, table = np.flatnonzero(seen), np.zeros(width * width)
+        else:
+            found, key = np.unique(key, return_inverse=True)
+            table = np.zeros(len(found))
+        some = found >= width  # else they share no site
+        table[found[some] if width <= 1024 else np.flatnonzero(some)] = score(found[some] // width, found[some] % width)
+        return [table[key.reshape(n.shape)]]
+
+    met = _meet(sites, block, chunk, _shared_and_different, lists, "s array<double>", np.unique)
+    return met.select("i", "js", F.posexplode("s").alias("at", "s")).selectExpr("i", "js[at] AS j", "s")
+
+
+def hamming_blocked(sites: DataFrame, block: int = 2048, chunk: int = 1024) -> DataFrame:
+    """(i, j, h): hamming() of conf(), by blocks."""
+    return pair_scores(sites, share, block, chunk).withColumnRenamed("s", "h")
+
+
+def share(n: np.ndarray, diff: np.ndarray) -> np.ndarray:
+    return diff / n
+
+
+def _shared_and_different(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    side_by_side = lambda x: x.transpose(1, 0, 2).reshape(x.shape[1], -1)
+    n = left.sum(axis=0) @ right.sum(axis=0).T
+    return np.stack([n, n - side_by_side(left) @ side_by_side(right).T])
+
+
+def _meet(sites: DataFrame, block: int, chunk: int, product: Callable, lists: Callable, values: str, kinds: Callable | None) -> DataFrame:
+    """(i, js, *values) for each taxon i and block of taxa: js are those above i that share a site with it, values has their lists.
+
+    product(left, right) of two blocks' counts (state, taxon, site) in a chunk of sites gives tables (.., taxon, taxon), which
+    are summed over chunks; lists(tables) gives the values by taxa.  kinds: the states to tell apart, None for none.
+    A pair of blocks is met from first to last in one task, and nothing is shuffled for a pair of taxa."""
+    known = stored(sites.where("taxon IS NOT NULL AND site IS NOT NULL AND state IS NOT NULL").select(*(F.col(c).cast("bigint") for c in ("taxon", "site", "state"))))
+    taxa = np.sort(known.select("taxon").distinct().toArrow()["taxon"].to_numpy())
+    block = max(1, min(block, -(-len(taxa) // 8)))  # where taxa are few, blocks enough for some tasks
+    count, numbered = -(-len(taxa) // block), known.sparkSession.sparkContext.broadcast(taxa)
+    names = ["i", "js", *(v.split()[0] for v in values.split(", "))]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each block and chunk: taxon, site, state, and how often they are together."""
+        for t in _gathered(batches, 1 << 20):
+            taxon, site, state = (t[c].to_numpy() for c in ("taxon", "site", "state"))
+            cells = np.stack([np.searchsorted(numbered.value, taxon), site, state])
+            cells = cells[:, np.lexsort((state, site, cells[0], site // chunk, cells[0] // block))]
+            first = np.flatnonzero(np.r_[True, (cells[:, 1:] != cells[:, :-1]).any(axis=0)])
+            (at, site, state), times = cells[:, first], np.diff(np.r_[first, cells.shape[1]])
+            blk, part = at // block, site // chunk
+            cuts = np.flatnonzero(np.r_[True, (np.diff(blk) != 0) | (np.diff(part) != 0), True])
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                packed = [v[x:y].astype(np.min_scalar_type(v[x:y].max())) if v[x:y].min() >= 0 else v[x:y] for v in (at % block, site % chunk, state, times)]
+                np.savez_compressed(file := io.BytesIO(), *packed)
+                yield pa.RecordBatch.from_pydict({"blk": [int(blk[x])], "chunk": [int(part[x])], "cells": [file.getvalue()]})
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (b.slice(k, 1).to_pylist()[0] for b in batches for k in range(b.num_rows))
+        for (lo, hi), pair in groupby(rows, lambda r: (r["lo"], r["hi"])):
+            left, right = (numbered.value[k * block : (k + 1) * block] for k in (lo, hi))
+            tables = np.zeros(())
+            for _, met in groupby(pair, lambda r: r["chunk"]):
+                cells = {lo: [], hi: []}
+                for r in met:
+                    cells[r["blk"]].append([v.astype(np.int64) for v in np.load(io.BytesIO(r["cells"])).values()])
+                if all(cells.values()):
+                    x, y = _counted([np.concatenate(c, axis=1) for c in (cells[lo], cells[hi])], (len(left), len(right)), chunk, kinds)
+                    tables = tables + product(x, y)
+            if tables.ndim:
+                yield from listed(left, right, tables)
+
+    def listed(left: np.ndarray, right: np.ndarray, tables: np.ndarray) -> Iterator[pa.RecordBatch]:
+        there, found, out, held = tables.any(axis=0) & (left[:, None] < right), lists(tables), [], 0
+        for k, i in enumerate(left):
+            if there[k].any():
+                out.append([i, right[there[k]], *(v[k][there[k]].ravel() for v in found)])
+                held += sum(map(len, out[-1][1:]))
+            if out and (held > 1 << 18 or k + 1 == len(left)):
+                first, *others = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), *(pa.ListArray.from_arrays(np.cumsum([0, *map(len, c)], dtype=np.int32), np.concatenate(c)) for c in others)], names)
+                out, held = [], 0
+
+    pairs = F.explode(F.expr(f"transform(sequence(0, {max(count, 1) - 1}), o -> struct(least(o, blk) AS lo, greatest(o, blk) AS hi))")).alias("p")
+    packed = known.mapInArrow(pack, "blk bigint, chunk bigint, cells binary").select("blk", "chunk", "cells", pairs).select("blk", "chunk", "cells", "p.lo", "p.hi")
+    dealt = packed.repartition(max(1, min(count * (count + 1) // 2, 1024)), "lo", "hi").sortWithinPartitions("lo", "hi", "chunk")
+    return dealt.mapInArrow(meet, f"i bigint, js array<bigint>, {values}")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches together, up to so many rows or a batch more."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held)
+
+
+def _counted(cells: list[np.ndarray], taxa: tuple[int, int], chunk: int, kinds: Callable | None) -> list[np.ndarray]:
+    """Counts (state, taxon, site) of two blocks' cells (taxon, site, state, times), at sites that either has."""
+    places = np.unique(np.concatenate([c[1] for c in cells]))
+    states = np.asarray([0] if kinds is None else kinds(np.concatenate([c[2] for c in cells])))
+    most = [c[3].max() for c in cells]
+    small = float(most[0]) * float(most[1]) * chunk * len(states) ** 2 < 1 << 24  # sums that single precision holds
+    out = []
+    for (taxon, site, state, times), n in zip(cells, taxa, strict=True):
+        kind = np.zeros(len(state), dtype=np.int64) if kinds is None else np.searchsorted(states, state)
+        if kinds is not None and (states[np.minimum(kind, len(states) - 1)] != state).any():
+            raise ValueError("a state is none of those to count")
+        x = np.zeros((len(states), n, len(places)), dtype=np.float32 if small else np.float64)
+        np.add.at(x, (kind, taxon, np.searchsorted(places, site)), times)
+        out.append(x)
+    return out
 
 
 def classes(sites: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import permutations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,11 @@ def jukes_cantor(ham: DataFrame, k: int) -> DataFrame:
     return ham.select("i", "j", F.pow(1 - F.col("h") * k / (k - 1), F.lit(k - 1.0)).alias("s"))
 
 
+def jukes_cantor_of(k: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """jukes_cantor() as a score for pair_scores()."""
+    return lambda n, diff: (1 - diff / n * k / (k - 1)) ** (k - 1.0)
+
+
 def jukes_cantor_gamma(ham: DataFrame, shape: float) -> DataFrame:
     """exp(-d) with d = 3/4 a ((1 - 4/3 p)^(-1/a) - 1); saturated pairs have similarity 0."""
     base = 1 - F.col("h") * 4 / 3
@@ -46,8 +53,6 @@ def _det(k: int) -> Column:
 def _packed_dets(conf: DataFrame, k: int) -> DataFrame:
     @F.pandas_udf("double")
     def det(tables: pd.Series) -> pd.Series:
-        import numpy as np
-
         return pd.Series(np.linalg.det(np.stack(tables.to_numpy()).reshape(-1, k, k)))
 
     inside = conf.where((F.col("a") < k) & (F.col("b") < k))

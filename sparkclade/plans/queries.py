@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,15 @@ def ids(df: DataFrame) -> DataFrame:
     return df.select(*(rd(c).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes))
 
 
+def rounded(score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """What rd() makes of a score, for pair_scores(): it rounds each distinct value, where rd() would each pair."""
+
+    def f(n, diff):
+        return np.array([float(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for x in score(n, diff).tolist()]) + 0.0
+
+    return f
+
+
 # Observations: mean vectors of labels (four or two states), all vectors, and users' days with gaps.
 CUTS4, CUTS2 = [-0.01, 0.0, 0.01], [0.0]
 
@@ -97,7 +108,7 @@ def hamming(spark, d):
 
 @query(EVT + HAM.replace("FROM conf GROUP", "FROM conf WHERE a <> 4 AND b <> 4 GROUP") + f" SELECT i, j, {rds('h')} AS h FROM ham")
 def hamming_missing(spark, d):
-    return ids(C.hamming_blocked(evt(spark, d).where("state <> 4")))
+    return C.pair_scores(evt(spark, d).where("state <> 4"), rounded(C.share)).withColumnRenamed("s", "h")
 
 
 @query(LAB4 + ", f AS (SELECT taxon, count(*) AS n, sum(CAST(state = 0 AS INT)) AS c0, sum(CAST(state = 1 AS INT)) AS c1, sum(CAST(state = 2 AS INT)) AS c2, sum(CAST(state = 3 AS INT)) AS c3 FROM sites GROUP BY 1) SELECT x.taxon AS i, y.taxon AS j, " + ", ".join(rds(f"(x.c{k} + y.c{k}) / CAST(x.n + y.n AS DOUBLE)") + f" AS g{k}" for k in range(4)) + " FROM f x JOIN f y ON x.taxon < y.taxon")
