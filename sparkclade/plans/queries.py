@@ -131,7 +131,7 @@ def site_patterns(spark, d):
 
 @query(EMB4 + JC + f" SELECT i, j, {rds('s')} AS s FROM sim")
 def jc_similarity(spark, d):
-    return ids(S.jukes_cantor(C.hamming_blocked(observe.of_vectors(observe.table(spark, d, "embeddings"))), 4))
+    return C.pair_scores(observe.of_vectors(observe.table(spark, d, "embeddings")), rounded(S.jukes_cantor_of(4)))
 
 
 def _jc(spark, d) -> DataFrame:

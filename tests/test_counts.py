@@ -27,7 +27,7 @@ def shuffled_after_meeting(df):
     return len(above) == 1 or "Exchange" in above[0] or "Aggregate" in above[0]
 
 
-@pytest.mark.parametrize("name", ["hamming_missing"])
+@pytest.mark.parametrize("name", ["hamming_missing", "jc_similarity"])
 def test_no_shuffle_of_pairs(spark, name):
     assert not shuffled_after_meeting(QUERIES[name](spark, SF))
 
