@@ -6,6 +6,7 @@ from test_queries import SF
 
 from sparkclade.operators import counts as C
 from sparkclade.plans.queries import QUERIES
+from sparkclade.sources import observe
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +28,7 @@ def shuffled_after_meeting(df):
     return len(above) == 1 or "Exchange" in above[0] or "Aggregate" in above[0]
 
 
-@pytest.mark.parametrize("name", ["hamming_missing", "jc_similarity"])
+@pytest.mark.parametrize("name", ["hamming_missing", "jc_similarity", "conf_counts"])
 def test_no_shuffle_of_pairs(spark, name):
     assert not shuffled_after_meeting(QUERIES[name](spark, SF))
 
@@ -39,6 +40,18 @@ def test_hamming_blocked(spark, sites):
     assert told(C.hamming_blocked(sites)) == want
 
 
+def test_conf_blocked(spark, sites):
+    want = told(C.conf(sites.dropna()))
+    assert told(C.conf_blocked(sites, 4, block=4, chunk=16)) == want
+    assert told(C.conf_blocked(sites, 4)) == want
+
+
+def test_null_components_count_as_lowest(spark):
+    """As in SQL, where they fall to ELSE 0."""
+    vectors = spark.createDataFrame([(1, [0.2, None, -0.05]), (2, [0.2, 0.05, None]), (3, None)], "vec_id bigint, embedding array<float>")
+    assert told(C.conf_blocked(observe.of_vectors(vectors), 4)) == [(1, 2, 0, 2, 1), (1, 2, 1, 0, 1), (1, 2, 3, 3, 1)]
+
+
 def test_mismatches_of_many_sites(spark):
     """Scores are looked up in another way where n passes 1023."""
     long = spark.range(3 * 2500).selectExpr("cast(id % 3 as int) AS taxon", "cast(id div 3 as int) AS site", "cast(crc32(cast(id as string)) % 4 as int) AS state")
