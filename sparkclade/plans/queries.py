@@ -98,7 +98,7 @@ def conf_counts_blocked(spark, d):
 
 @query(EVT + CONF + " SELECT i, j, CAST(sum(cnt) AS BIGINT) AS n FROM conf GROUP BY 1, 2")
 def valid_pairs(spark, d):
-    return ids(C.valid_pairs(C.conf(evt(spark, d))))
+    return C.shared_sites(evt(spark, d))
 
 
 @query(EMB4 + HAM + f" SELECT i, j, {rds('h')} AS h FROM ham")

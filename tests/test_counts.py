@@ -28,7 +28,7 @@ def shuffled_after_meeting(df):
     return len(above) == 1 or "Exchange" in above[0] or "Aggregate" in above[0]
 
 
-@pytest.mark.parametrize("name", ["hamming_missing", "jc_similarity", "conf_counts"])
+@pytest.mark.parametrize("name", ["hamming_missing", "jc_similarity", "conf_counts", "valid_pairs"])
 def test_no_shuffle_of_pairs(spark, name):
     assert not shuffled_after_meeting(QUERIES[name](spark, SF))
 
@@ -46,6 +46,12 @@ def test_conf_blocked(spark, sites):
     assert told(C.conf_blocked(sites, 4)) == want
 
 
+def test_shared_sites(spark, sites):
+    want = told(C.valid_pairs(C.conf(sites.dropna())))
+    assert told(C.shared_sites(sites, block=4, chunk=16)) == want
+    assert told(C.shared_sites(sites)) == want
+
+
 def test_null_components_count_as_lowest(spark):
     """As in SQL, where they fall to ELSE 0."""
     vectors = spark.createDataFrame([(1, [0.2, None, -0.05]), (2, [0.2, 0.05, None]), (3, None)], "vec_id bigint, embedding array<float>")
