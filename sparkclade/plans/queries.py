@@ -103,7 +103,7 @@ def valid_pairs(spark, d):
 
 @query(EMB4 + HAM + f" SELECT i, j, {rds('h')} AS h FROM ham")
 def hamming(spark, d):
-    return ids(C.hamming_blocked(observe.of_vectors(observe.table(spark, d, "embeddings"))))
+    return C.pair_scores(observe.of_vectors(observe.table(spark, d, "embeddings")), rounded(C.share)).withColumnRenamed("s", "h")
 
 
 @query(EVT + HAM.replace("FROM conf GROUP", "FROM conf WHERE a <> 4 AND b <> 4 GROUP") + f" SELECT i, j, {rds('h')} AS h FROM ham")

@@ -5,7 +5,7 @@ import pytest
 from test_queries import SF
 
 from sparkclade.operators import counts as C
-from sparkclade.plans.queries import QUERIES
+from sparkclade.plans.queries import QUERIES, ids, rounded
 from sparkclade.sources import observe
 
 
@@ -28,7 +28,7 @@ def shuffled_after_meeting(df):
     return len(above) == 1 or "Exchange" in above[0] or "Aggregate" in above[0]
 
 
-@pytest.mark.parametrize("name", ["hamming_missing", "jc_similarity", "conf_counts", "valid_pairs"])
+@pytest.mark.parametrize("name", ["hamming_missing", "jc_similarity", "conf_counts", "valid_pairs", "hamming"])
 def test_no_shuffle_of_pairs(spark, name):
     assert not shuffled_after_meeting(QUERIES[name](spark, SF))
 
@@ -64,5 +64,12 @@ def test_mismatches_of_many_sites(spark):
     assert told(C.hamming_blocked(long)) == told(C.hamming(C.conf(long)).select("i", "j", "h"))
 
 
+def test_rounded_as_in_spark(spark):
+    """Halves of a seventh place too: 1 of 128."""
+    rows = spark.range(2 * 128).selectExpr("cast(id % 2 as int) AS taxon", "cast(id div 2 as int) AS site", "cast(id = 1 as int) AS state")
+    scored = C.pair_scores(rows, rounded(C.share)).withColumnRenamed("s", "h")
+    assert told(scored) == told(ids(C.hamming(C.conf(rows)))) == [(0, 1, 0.007813)]
+
+
 def test_no_rows(spark, sites):
     assert C.hamming_blocked(sites.where("false")).count() == 0
