@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_queries import SF
 
 from sparkclade.operators import counts as C
@@ -46,6 +47,25 @@ def test_conf_blocked(spark, sites):
     assert told(C.conf_blocked(sites, 4)) == want
 
 
+def test_conf_blocked_sends_words(spark, sites, monkeypatch):
+    """A pair's 16 counts below 256 leave Python as two numbers, at most 64 pairs in a row."""
+    held, meet = [], C._meet
+    monkeypatch.setattr(C, "_meet", lambda *a, **b: held.append(meet(*a, **b)) or held[-1])
+    many = spark.range(2000 * 2).selectExpr("cast(id % 2000 as int) AS taxon", "cast(id div 2000 as int) AS site", "cast(id % 4 as int) AS state")
+    C.conf_blocked(many, 4)
+    sent = held[0].selectExpr("sum(size(js))", f"sum(size({held[0].columns[-1]}))", "max(size(js))").first()
+    assert sent[0] == 1999000 and sent[1] == 2 * sent[0] and sent[2] <= 64
+
+
+@pytest.mark.parametrize("states, times", [(4, 1), (3, 1), (5, 1), (2, 20), (4, 20), (5, 300)])
+def test_conf_blocked_of_many_states_and_counts(spark, states, times):
+    """Counts of one, two and four bytes, in words filled and not; as many taxa in a block as there are states."""
+    rows = spark.range(states * 8 * 6).selectExpr(f"cast(id % {states * 8} as int) AS taxon", f"cast(id div {states * 8} as int) AS site", f"cast(crc32(cast(id as string)) % {states} as int) AS state")
+    # Two taxa have cells that occur often.
+    often = rows.withColumn("n", F.expr(f"if(taxon < 2, {times}, 1)")).selectExpr("taxon", "site", "state", "explode(sequence(1, n)) AS n").drop("n")
+    assert told(C.conf_blocked(often, states, block=states, chunk=4)) == told(C.conf(often))
+
+
 def test_shared_sites(spark, sites):
     want = told(C.valid_pairs(C.conf(sites.dropna())))
     assert told(C.shared_sites(sites, block=4, chunk=16)) == want
